@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from riskloom.llm import mixing
+from riskloom.llm import huffman, mixing, packing
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
+    "op7_token_files": huffman.op7_token_files,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
