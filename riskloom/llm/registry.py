@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from riskloom.llm import huffman, mixing, packing
+from riskloom.llm import ann, huffman, mixing, packing, topk
 
 QUERIES = {
+    "op2_topk": topk.op2_topk,
     "op3_packing": packing.op3_packing,
     "op7_token_files": huffman.op7_token_files,
+    "op9_ann": ann.op9_ann,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
+    "op2_topk": topk.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
