@@ -189,14 +189,14 @@ class Search:
                                 leaves.append(leaf)
                                 splits.append(s)
                 taken = part.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(2), pa.array(leaves, pa.int64()), pa.array(splits, pa.int64())], names=["vec_id", "vector", "leaf", "part"])
+                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(2), pa.array(leaves, pa.int64()), pa.array(splits, pa.int64())], names=["query_id", "query", "leaf", "part"])
 
         def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             out = ([], [], [])
             if left.num_rows and right.num_rows:
                 right = right.sort_by("vec_id")
                 ids, c = right["vec_id"].to_numpy(), matrix(right["vector"], dims)
-                q_ids, q = left["vec_id"].to_numpy(), matrix(left["vector"], dims)
+                q_ids, q = left["query_id"].to_numpy(), matrix(left["query"], dims)
                 for a in range(0, len(q), 256):
                     d = _distances(q[a : a + 256], c)
                     d[q_ids[a : a + 256, None] == ids[None, :]] = np.inf
@@ -210,7 +210,7 @@ class Search:
         split = F.create_map(*[F.lit(int(v)) for leaf in np.flatnonzero(parts > 1) for v in (leaf, parts[leaf])]) if (parts > 1).any() else None
         part = F.pmod(F.xxhash64("vec_id"), F.coalesce(split[F.col("leaf").cast("int")], F.lit(1))) if split is not None else F.lit(0)
         stored = self.index.select("vec_id", "vector", "leaf", part.cast("long").alias("part"))
-        visited = asked.mapInArrow(walk, "vec_id long, vector array<double>, leaf long, part long")
+        visited = asked.mapInArrow(walk, "query_id long, query array<double>, leaf long, part long")
         keys = ["leaf", "part"]
         found = visited.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
         hit = F.struct("score", "vec_id")

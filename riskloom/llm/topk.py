@@ -50,17 +50,24 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, block_rows: int
     queries = queries.dropDuplicates(["vec_id", "dims", "vector"])
     blocks = max(1, -(-queries.count() // block_rows))
     shards = max(1, -(-candidates.count() // shard_rows))
-    side_q = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("shard", F.explode(F.expr(f"sequence(0L, {shards - 1}L)")))
-    side_c = candidates.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards))).withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
+    # columns of their own names: both sides may stem from one table
+    side_q = queries.select(
+        F.col("vec_id").alias("query_id"), F.col("dims").alias("q_dims"), F.col("vector").alias("query"),
+        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("q_block"), F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("q_shard"),
+    )
+    side_c = candidates.select(
+        F.col("vec_id").alias("candidate_id"), F.col("dims").alias("c_dims"), F.col("vector").alias("candidate"),
+        F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).alias("c_shard"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("c_block"),
+    )
 
     def tile(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         shard, dims = key[1].as_py(), key[2].as_py()
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
-            right = right.sort_by("vec_id")
-            ids = right["vec_id"].to_numpy()
-            c = matrix(right["vector"], dims)
-            q_ids, q = left["vec_id"].to_numpy(), matrix(left["vector"], dims)
+            right = right.sort_by("candidate_id")
+            ids = right["candidate_id"].to_numpy()
+            c = matrix(right["candidate"], dims)
+            q_ids, q = left["query_id"].to_numpy(), matrix(left["query"], dims)
             step = max(1, CELLS // len(ids))
             for a in range(0, len(q_ids), step):
                 scores = _products(q[a : a + step], c)
@@ -75,8 +82,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, block_rows: int
                     out[name] += part
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "shard": pa.array([shard] * len(out["vec_id"]), pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.int64())})
 
-    keys = ["block", "shard", "dims"]
-    tiles = side_q.groupBy(*keys).cogroup(side_c.groupBy(*keys)).applyInArrow(tile, "query_id long, shard long, vec_id long, score long")
+    tiles = side_q.groupBy("q_block", "q_shard", "q_dims").cogroup(side_c.groupBy("c_block", "c_shard", "c_dims")).applyInArrow(tile, "query_id long, shard long, vec_id long, score long")
     return merge_tree(tiles, shards, k)
 
 
