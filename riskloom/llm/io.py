@@ -37,3 +37,15 @@ def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of an Arrow batch for operators over whole texts: some megabytes, whatever the executors' memory.
+TEXT_BATCH_ROWS = 2000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """The frame, after seeing to it that Python workers get its texts in small Arrow batches."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_BATCH_ROWS:
+        conf.set(key, str(TEXT_BATCH_ROWS))
+    return df

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from riskloom.llm import ann, huffman, mixing, packing, topk
+from riskloom.llm import ann, huffman, mixing, packing, quality, topk
 
 QUERIES = {
     "op2_topk": topk.op2_topk,
     "op3_packing": packing.op3_packing,
+    "op4_quality": quality.op4_quality,
     "op7_token_files": huffman.op7_token_files,
     "op9_ann": ann.op9_ann,
     "op10_mixing": mixing.op10_mixing,

@@ -84,12 +84,19 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+def running(data: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Running polynomial sums, from which the hash of any span follows."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_LOWER_VALUE if lower else _BYTE_VALUE)[data] * _power("up", len(data)), out=total[1:])
+    return total
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, total: np.ndarray | None = None) -> np.ndarray:
     """Hashes of byte spans by a polynomial over random byte values, finalised."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER_VALUE if lower else _BYTE_VALUE)[data] * _power("up", len(data)), out=total[1:])
+    if total is None:
+        total = running(data, lower)
     return mix((total[ends] - total[starts]) * _power("down", len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
