@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskloom.llm import ann, huffman, mixing, packing, quality, topk
+from riskloom.llm import ann, huffman, jaccard, mixing, packing, quality, topk
 
 QUERIES = {
+    "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op2_topk": topk.op2_topk,
     "op3_packing": packing.op3_packing,
     "op4_quality": quality.op4_quality,

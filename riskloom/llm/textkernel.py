@@ -141,7 +141,7 @@ def grams(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.
         out[begin[doc] + inside] = joined[first[doc] + inside]
     for i in np.flatnonzero((count > 0) & (count < n)):
         part = words[first[i] : first[i + 1]]
-        out[begin[i]] = (part * _GRAM[: len(part)]).sum(dtype=np.uint64) + np.uint64(len(part)) * _GRAM[15]
+        out[begin[i]] = np.append(part * _GRAM[: len(part)], _GRAM[15:] * np.uint64(len(part))).sum(dtype=np.uint64)
     return mix(out), begin
 
 
