@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.io import new_path, shuffle_partitions, table, written
+from riskloom.llm.io import new_path, shuffle_partitions, table, text_batches, written
 from riskloom.llm.tokens import END_ID, encoder, vocabulary_path
 
 LANE = 256
@@ -141,7 +141,7 @@ def token_table(docs: DataFrame, path: str, end_id: int | None = END_ID, order_c
             sizes = np.concatenate(size_of) if size_of else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids_of, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col(order_col).cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return text_batches(docs).select(F.col(order_col).cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def _id_counts(tokens: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def _id_counts(tokens: DataFrame) -> DataFrame:
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
-    return tokens.select("n_tokens", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return text_batches(tokens).select("n_tokens", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(tokens: DataFrame, path: str, shards: int | None = None) -> None:

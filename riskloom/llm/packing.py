@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.io import table
+from riskloom.llm.io import table, text_batches
 from riskloom.llm.tokens import END_ID, encoder, vocabulary_path
 
 SEQUENCE_TOKENS = 2048
@@ -177,7 +177,7 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
         if rows:
             yield table_of()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA + ", ids binary" * ids)
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA + ", ids binary" * ids)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
