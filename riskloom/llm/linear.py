@@ -20,16 +20,24 @@ Features = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class Ftrl:
-    """FTRL-proximal: per-coordinate rates, L1 and L2; index 0 is the bias and not shrunk by L1."""
+    """FTRL-proximal: per-coordinate rates, L1 and L2; index 0 is the bias and not shrunk by L1.
 
-    def __init__(self, size: int, alpha: float, beta: float, l1: float, l2: float):
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+    With rising, no weight but the bias falls below 0: a feature can speak for label 1, never against it.
+    A fixed bias is the score of a text without any feature and is not learnt.
+    """
+
+    def __init__(self, size: int, alpha: float, beta: float, l1: float, l2: float, rising: bool = False, fixed: float | None = None):
+        self.alpha, self.beta, self.l1, self.l2, self.rising, self.fixed = alpha, beta, l1, l2, rising, fixed
         self.z, self.n = np.zeros(size), np.zeros(size)
 
     def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]
-        l1 = np.where(np.arange(len(self.z))[at] == 0, 0.0, self.l1)
-        return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
+        bias = np.zeros(len(z), bool)
+        bias[0] = isinstance(at, slice) or at[0] == 0
+        l1 = np.where(bias, 0.0, self.l1)
+        none = (z >= -l1) & ~bias if self.rising else np.abs(z) <= l1
+        out = np.where(none, 0.0, (np.sign(z) * l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
+        return out if self.fixed is None else np.where(bias, self.fixed, out)
 
     def learn(self, at: np.ndarray, x: np.ndarray, y: float) -> None:
         w = self.weights(at)
@@ -62,8 +70,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
 
-def fit(sample: DataFrame, features: Callable[[pa.Array], Iterator[Features]], size: int, alpha: float, beta: float, l1: float, l2: float, epochs: int) -> np.ndarray:
-    """Weights as float32: features are made where the texts lie, the bounded rows are learnt in order by one task."""
+def fit(sample: DataFrame, features: Callable[[pa.Array], Iterator[Features]], size: int, alpha: float, beta: float, l1: float, l2: float, epochs: int, rising: bool = False, fixed: float | None = None, support: int = 0) -> np.ndarray:
+    """Weights as float32: features are made where the texts lie, the bounded rows are learnt in order by one task.
+
+    With support, a feature counts that occurs in so many rows of label 1, and in four times as many of those as of others.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,11 +87,18 @@ def fit(sample: DataFrame, features: Callable[[pa.Array], Iterator[Features]], s
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "y", "at", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [row for batch in batches for row in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        model = Ftrl(size, alpha, beta, l1, l2)
+        rows = [(y, np.frombuffer(at, "<u4"), np.frombuffer(x, "<f4")) for batch in batches for y, at, x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+        model = Ftrl(size, alpha, beta, l1, l2, rising, fixed)
+        if support:
+            seen = np.zeros((2, size), np.int64)
+            for y, at, _ in rows:
+                seen[y, at] += 1
+            keep = (seen[1] >= support) & (seen[1] >= 4 * seen[0])
+            rows = [(y, at[keep[at]], x[keep[at]]) for y, at, x in rows]
+        rows = [(float(y), np.concatenate([[0], at]), np.concatenate([[1.0], x])) for y, at, x in rows]
         for _ in range(epochs):
             for y, at, x in rows:
-                model.learn(np.concatenate([[0], np.frombuffer(at, "<u4")]), np.concatenate([[1.0], np.frombuffer(x, "<f4")]), float(y))
+                model.learn(at, x, y)
         yield pa.RecordBatch.from_pydict({"w": pa.array([model.weights().astype("<f4").tobytes()], pa.binary())})
 
     made = text_batches(sample).select("doc_id", "text", "y").mapInArrow(make, "doc_id long, y int, at binary, x binary")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import ann, huffman, jaccard, mixing, packing, quality, topk
+from riskloom.llm import ann, huffman, jaccard, mixing, packing, quality, topk, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_quality": quality.op4_quality,
     "op7_token_files": huffman.op7_token_files,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_ann": ann.op9_ann,
     "op10_mixing": mixing.op10_mixing,
 }
