@@ -223,7 +223,15 @@ def _word_stats(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
         before = np.bincount(at[c > 0], minlength=len(word))
         stats = [*_count_stats(c), *_count_stats(before), int(before.sum()), int((total > 0).sum()), int(total.sum())]
         # what each part of the model meets of these words
-        need = np.unique(at * parts + ((key & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64))
+        half = key & np.uint64(0xFFFFFFFF)
+        need = at * parts + (half * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        if len(hot):
+            # events after a hot word lie in parts by both words
+            by_half = hot[np.argsort(hot >> np.uint64(32))]
+            place = np.minimum(np.searchsorted(by_half >> np.uint64(32), half), len(hot) - 1)
+            is_hot = by_half[place] >> np.uint64(32) == half
+            need = np.concatenate([need, at[is_hot] * parts + (pair_key(by_half[place[is_hot]], word[at[is_hot]]) % np.uint64(parts)).astype(np.int64)])
+        need = np.unique(need)
         at, where = need // parts, need % parts
         order = np.argsort(where, kind="stable")
         at, where = at[order], where[order]
