@@ -1,6 +1,6 @@
 """Every registered query of the library proper, and its SQL."""
 
-from riskloom.catalogue import texts
+from riskloom.catalogue import packages, texts
 
-QUERIES = {**texts.QUERIES}
-ORACLES = {**texts.ORACLES}
+QUERIES = {**texts.QUERIES, **packages.QUERIES}
+ORACLES = {**texts.ORACLES, **packages.ORACLES}
