@@ -103,4 +103,10 @@ def fit(sample: DataFrame, features: Callable[[pa.Array], Iterator[Features]], s
 
     made = text_batches(sample).select("doc_id", "text", "y").mapInArrow(make, "doc_id long, y int, at binary, x binary")
     ordered = made.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "at")
-    return np.frombuffer(ordered.mapInArrow(learn, "w binary").first().w, "<f4")
+    row = ordered.mapInArrow(learn, "w binary").first()
+    if row is None:
+        # no labelled rows at all: nothing speaks for either label
+        nothing = np.zeros(size, "<f4")
+        nothing[0] = fixed or 0.0
+        return nothing
+    return np.frombuffer(row.w, "<f4")

@@ -69,7 +69,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
         .withColumn("ratio", F.col("cap") / F.col("weight"))
         .withColumn("total", F.sum(F.col("source_size").cast("double")).over(everything))
         .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-        .withColumn("water", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
+        .withColumn("water", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
     )
     target = F.least(F.col("cap"), F.coalesce(F.col("water") * F.col("weight"), F.col("cap")))
     return ranked.select("source", "source_size", target.alias("target"))
@@ -157,7 +157,7 @@ levelled AS (
     / sum(weight) OVER (ORDER BY ratio, has_source DESC, source_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM capped),
 shared AS (
   SELECT has_source, source_key, source_size, least(cap, coalesce(water * weight, cap)) AS target
-  FROM (SELECT *, min(CASE WHEN level <= ratio THEN level END) OVER () AS water FROM levelled)),
+  FROM (SELECT *, max(CASE WHEN level <= ratio THEN level END) OVER () AS water FROM levelled)),
 rated AS (
   SELECT r.*, s.source_size, s.target, CASE WHEN s.source_size > 0 THEN s.target / s.source_size ELSE 0 END AS rate,
     CAST('0x' || substr(md5('riskloom-mix-1-offset|' || r.source_key), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u
