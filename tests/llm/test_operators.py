@@ -323,3 +323,19 @@ def test_no_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.score(docs.select("doc_id", "text"), quality.train(docs, none), "score").where("score is not null").count() == docs.count()
     assert toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, none), "score").where("score >= 0.7").count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_components(spark, monkeypatch, limit):
+    from riskloom.llm import components
+
+    monkeypatch.setattr(components, "TASK_LINKS", limit)
+    r = random.Random(8)
+    links = [(r.randrange(120), r.randrange(120)) for _ in range(70)] + [(200 + i, 201 + i) for i in range(12)]
+    links = [(a, b) for a, b in links if a != b]
+    low = {x: x for p in links for x in p}
+    for _ in range(200):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    out = components.components(spark.createDataFrame(links, "a long, b long"))
+    assert {(x.node, x.label) for x in out.collect()} == set(low.items())
