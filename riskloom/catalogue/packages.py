@@ -251,3 +251,25 @@ ORACLES = {
     "purl_parts": "SELECT * FROM " + _values([(PURLS[0], "npm", "@scope/name", "1.2.3", "pkg:npm/%40scope/name@1.2.3"), (PURLS[1], "pypi", "requests", "2.0", "pkg:pypi/requests@2.0"), (PURLS[2], "npm", "left-pad", None, "pkg:npm/left-pad"), (PURLS[3], None, None, None, None)], "purl, ecosystem, name, version, again"),
     "recommended_version": "SELECT name, target, recommended, CAST(unfixed AS BIGINT) AS unfixed FROM " + _values([("a", "1.2.5", "1.2.5", 0), ("b", "2.1.0", "2.1.0", 0), ("c", None, None, 1), ("d", "1.0.9", "1.0.9", 0)], "name, target, recommended, unfixed"),
 }
+
+_b = lambda i: f"((id >> {i}) % 2 = 1)"
+ORACLES["online_verdicts"] = f"""
+WITH f AS (SELECT CASE WHEN {_b(0)} THEN {_b(1)} END AS ex, {_b(2)} AS mal, {_b(3)} AS vul, {_b(4)} OR {_b(5)} AS severe, CASE WHEN {_b(6)} THEN 1 END AS age, {_b(7)} AS has_version, {_b(8)} AS exact, CASE WHEN {_b(9)} THEN {_b(8)} END AS vex, {_b(10)} AS near FROM range(2048) r(id)),
+v AS (SELECT *, CASE WHEN ex = false THEN 'not_found' WHEN mal THEN 'malicious' WHEN vul THEN 'vulnerable' WHEN age < 7 THEN 'cooldown_hold' WHEN vex = false AND NOT exact THEN 'unknown' WHEN vex = false THEN 'version_not_found' WHEN near THEN 'suspicious_name' WHEN NOT has_version THEN 'unknown' ELSE 'checked_clean' END AS verdict FROM f)
+SELECT verdict, CASE verdict WHEN 'malicious' THEN 'critical' WHEN 'vulnerable' THEN CASE WHEN has_version AND severe THEN 'high' ELSE 'medium' END WHEN 'not_found' THEN 'high' WHEN 'version_not_found' THEN 'high' WHEN 'suspicious_name' THEN 'high' ELSE 'low' END AS severity, count(*) AS n FROM v GROUP BY ALL"""
+ORACLES["release_signals"] = """
+WITH r AS (SELECT * FROM (VALUES ('p', '1.9.0', 'ann', 100, false, 2), ('p', '1.10.0', 'bob', 150, true, 3), ('p', '1.2.0', 'ann', 100, false, 1), ('q', '1', 'x', NULL, false, 1)) t(name, version, maintainer, size, hook, k)),
+l AS (SELECT *, lag(version) OVER w AS previous, lag(maintainer) OVER w AS m0, lag(size) OVER w AS s0, lag(hook) OVER w AS h0 FROM r WINDOW w AS (PARTITION BY name ORDER BY k))
+SELECT name, version, previous, previous IS NOT NULL AND maintainer IS DISTINCT FROM m0 AS maintainer_changed, coalesce(abs((size - s0) / s0) >= 0.3, false) AS size_jump, coalesce(hook AND NOT h0, false) AS hook_added FROM l"""
+
+
+def _evaluation() -> str:
+    from riskloom.catalogue.sqlgen import value
+
+    rows = [(r.id, text, fire) for r in RULES for texts, fire in ((r.positives, True), (r.negatives, False)) for text in texts]
+    fired = "CASE rule_id " + " ".join(f"WHEN {quote(r.id)} THEN ({value(r)}) IS NOT NULL" for r in RULES) + " END"
+    counts = ", ".join(f"count(*) FILTER (expect = {e} AND fired = {f}) AS {n}" for n, e, f in (("tp", "true", "true"), ("fp", "false", "true"), ("tn", "false", "false"), ("fn", "true", "false")))
+    return f"WITH e AS (SELECT *, {fired} AS fired FROM {_values(rows, 'rule_id, line, expect')}), c AS (SELECT rule_id, {counts} FROM e GROUP BY rule_id), p AS (SELECT *, tp / nullif(tp + fp, 0)::DOUBLE AS precision, tp / nullif(tp + fn, 0)::DOUBLE AS recall FROM c) SELECT *, 2 * precision * recall / nullif(precision + recall, 0) AS f1 FROM p"
+
+
+ORACLES["eval_precision_recall"] = _evaluation()
