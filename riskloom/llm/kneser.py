@@ -35,8 +35,8 @@ from riskloom.llm.textkernel import Words, mix, slices
 
 FOLDS, HELD_OUT = 7, 2
 #: Events of a part of the model, on average, and events a task packs at once.
-PART_EVENTS = 4_000_000
-PACK_EVENTS = 4_000_000
+PART_EVENTS = 2_000_000
+PACK_EVENTS = 2_000_000
 SKETCH_BITS = 20
 START, END = 1, 2
 
