@@ -37,6 +37,8 @@ FOLDS, HELD_OUT = 7, 2
 #: Events of a part of the model, on average, and events a task packs at once.
 PART_EVENTS = 2_000_000
 PACK_EVENTS = 2_000_000
+#: Documents whose sums are added up in one group, on average.
+DEAL_ROWS = 10_000
 SKETCH_BITS = 20
 START, END = 1, 2
 
@@ -282,6 +284,24 @@ def _discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
     return np.where(c > 0, c - np.array([0.0, *d])[np.minimum(c, 3).astype(np.int64)], 0.0)
 
 
+def _dealt(keys: np.ndarray, logp: np.ndarray, logc: np.ndarray, known: np.ndarray, deals: int) -> dict[str, pa.Array]:
+    """One part's sums by row key, packed by where they are added up."""
+    own, at = np.unique(keys, return_inverse=True)
+    logp, logc, known = (np.bincount(at, x, len(own)) for x in (logp, logc, known))
+    deal = (own % np.uint64(deals)).astype(np.int64)
+    order = np.argsort(deal, kind="stable")
+    used, begin = np.unique(deal[order], return_index=True)
+    blobs = [_zip(own[x], logp[x].astype("<f8"), logc[x].astype("<f8"), known[x].astype("<u4")) for x in np.split(order, begin[1:])]
+    return {"deal": pa.array(used, pa.int64()), "sums": pa.array(blobs, pa.binary())}
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    keys, *values = (np.concatenate(x) for x in zip(*(_unzip(raw, "<u8", "<f8", "<f8", "<u4") for raw in rows["sums"].to_pylist()), strict=True))
+    own, at = np.unique(keys, return_inverse=True)
+    logp, logc, known = (np.bincount(at, x, len(own)) for x in values)
+    return pa.table({"key": pa.array(own.view(np.int64), pa.int64()), "logp": pa.array(logp), "logc": pa.array(logc), "known": pa.array(known.astype(np.int64), pa.int64())})
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
@@ -303,6 +323,7 @@ def scores(docs: DataFrame) -> DataFrame:
     sketch = tally(_prepared(docs), words, (1 << SKETCH_BITS) + 1)
     events = int(sketch.sum())
     parts = max(1, -(-events // PART_EVENTS))
+    deals = max(1, -(-int(sketch[-1]) // DEAL_ROWS))
     hot = _hot_words(docs, sketch[:-1], int(sketch[-1]), parts)
     as_word = _hot_counts(docs, hot, parts, "hot word") if len(hot) else None
     as_context = _hot_counts(docs, hot, parts, "hot context") if len(hot) else None
@@ -336,9 +357,8 @@ def scores(docs: DataFrame) -> DataFrame:
             keys.append(own)
             train.append(flag)
             base += len(own)
-        names = ("key", "logp", "logc", "known")
         if not v:
-            return pa.table({"key": pa.array([], pa.int64()), "logp": pa.array([], pa.float64()), "logc": pa.array([], pa.float64()), "known": pa.array([], pa.int64())})
+            return pa.table({"deal": pa.array([], pa.int64()), "sums": pa.array([], pa.binary())})
         v, w, doc, keys, train = (np.concatenate(x) for x in (v, w, doc, keys, train))
         learnt = train[doc].astype(bool)
         pair = pair_key(v, w)
@@ -372,13 +392,12 @@ def scores(docs: DataFrame) -> DataFrame:
                 logc += np.bincount(doc[own], np.log10(c_w + 1), base)
                 seen += np.bincount(doc[own], c_w > 0, base).astype(np.int64)
             del unigrams, bigrams, contexts
-        own, at = np.unique(keys, return_inverse=True)
-        return pa.table(dict(zip(names, (pa.array(own.view(np.int64), pa.int64()), pa.array(np.bincount(at, logp, len(own))), pa.array(np.bincount(at, logc, len(own))), pa.array(np.bincount(at, seen, len(own)).astype(np.int64), pa.int64())), strict=True)))
+        return pa.table(_dealt(keys, logp, logc, seen, deals))
 
     packed = _packed_events(docs, parts, hot).select(F.col("part").alias("own_part"), F.col("blob"))
     met_words = met.where("stats is null").select("part", F.col("blob").alias("words")).withColumnRenamed("words", "blob")
-    found = packed.groupBy("own_part").cogroup(met_words.groupBy("part")).applyInArrow(score_part, "key long, logp double, logc double, known long")
-    sums = found.groupBy("key").agg(F.sum("logp").alias("logp"), F.sum("logc").alias("logc"), F.sum("known").alias("known"))
+    found = packed.groupBy("own_part").cogroup(met_words.groupBy("part")).applyInArrow(score_part, "deal long, sums binary")
+    sums = found.groupBy("deal").applyInArrow(_summed, "key long, logp double, logc double, known long")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
