@@ -35,16 +35,20 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates; all without words or id."""
-    groups = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document, that with the smallest id, of each group of near duplicates; all without words or id.
+
+    Where an id stands on several rows, a row goes only if its own set is in the component of a smaller id.
+    """
+    groups = jaccard.components_of_sets(docs.select("doc_id", "text"))
+    gone = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id", "sig").distinct()
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.limit(1).count():
-        return kept
-    # rows that repeat an id are compared by text, the others left alone
-    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = written(gone, "gone")
+    # rows that repeat an id are compared by set and text, the others by id
+    once = docs.join(repeated, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    several = jaccard.signed(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns)).join(gone, ["doc_id", "sig"], "left_anti")
+    return once.unionByName(several.select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

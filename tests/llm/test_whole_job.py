@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline as P
 import corpus_pipeline as P
 from riskloom.llm import jaccard
 
@@ -31,3 +32,14 @@ def test_bridges_over_lists_of_two(spark):
     assert all(low[3 * k] == low[3 * k + 1] == low[3 * k + 2] == 3 * k for k in range(30))
     out = jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in out} == low
+
+
+def test_an_id_on_two_rows_loses_only_the_copy(spark):
+    """Id 2 stands on a copy of 1 and on a text of its own, which nothing is like."""
+    copy, own, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(1, copy), (2, copy), (2, own), (2, own), (3, other), (4, other), (None, copy), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "web", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(left) == len(set(left)) and set(left) == {(1, copy), (2, own), (3, other), (None, copy), (5, None), (5, "")}
