@@ -1,9 +1,10 @@
 """Toxicity over a noisy channel: obfuscated words are restored, then the restored text is scored.
 
-A word that mixes letters with digits or signs, repeats a letter three times or
-more, or is spelled out in single letters becomes a lattice: every sign may stand
-for letters it is used for, a run of one letter for one or two, a separator for
-nothing or for a break. The Viterbi path under a character 4-gram model of the
+A word that mixes letters with digits, signs or separators, repeats a letter three
+times or more, is spelled out in single letters or lies in short fragments becomes
+a lattice: every sign may stand for letters it is used for, a run of one letter for
+one or two, a separator for nothing or for a break; what stands there is a path as
+well. The Viterbi path under a character 4-gram model of the
 whole corpus is the restored text. Scoring is a logistic regression over which
 words and word beginnings occur, fitted by FTRL on a bounded labelled sample with
 weights of 0 or more, so no amount of clean text outweighs a toxic word.
@@ -35,6 +36,10 @@ CLEAN, SUPPORT = -1.2, 5
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 #: Costs, in nats, of the channel's steps.
 COST_SIGN, COST_KEEP, COST_JOIN, COST_BREAK, COST_SINGLE, COST_DOUBLE = 0.3, 6.0, 0.2, 2.5, 0.4, 1.0
+#: Cost of a space put into a word; what the letters must at least almost make up for to open the lattice.
+COST_SPACE, NEAR = 4.0, 2.0
+#: Letters of a fragment at most.
+FRAGMENT = 5
 BEAM = 24
 #: Spelled-out words have so many single letters in a row at least.
 SPELLED = 3
@@ -53,6 +58,14 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in LEET if c.isascii()]] = True
 _JOINER = np.zeros(256, bool)
 _JOINER[[ord(c) for c in "._-*~^'`,:;/\\#%&=<>[]{})?\""]] = True
+#: First bytes of signs (True) and separators (False) beyond ASCII, and the bytes of the whole.
+_WIDE = [
+    *(((*x.encode(), len(x.encode())), True) for x in LEET if not x.isascii()),
+    *(((0xC2, x, 2), False) for x in range(0xA0, 0xC0) if x not in (0xA3, 0xAA, 0xB5, 0xBA)),
+    ((0xE2, 0x80, 3), False),
+    ((0xE2, 0x81, 3), False),
+    ((0xEF, 0xBB, 0xBF, 3), False),
+]
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -84,18 +97,23 @@ def letter_costs(counts: np.ndarray) -> np.ndarray:
 def _lattice(text: str) -> list[list[tuple[str, float]]]:
     """What each stretch of the text may stand for, with costs."""
     steps: list[list[tuple[str, float]]] = []
+    parts = text.split()
+    spelled = len(parts) >= SPELLED and max(map(len, parts)) == 1
     i = 0
     while i < len(text):
         c = text[i]
         n = 1
         while i + n < len(text) and text[i + n] == c:
             n += 1
+        outer = i == 0 or i + n == len(text)
         i += n
-        if c.isalpha():
+        if c.isspace() and not spelled:
+            steps.append([("", COST_SPACE), (" ", 0.0)])
+        elif c.isalpha():
             steps.append([(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, 4.0)] if n == 2 else [(c, COST_SINGLE), (c * 2, COST_DOUBLE)])
         elif c in LEET:
             own = [(x * min(n, 2), COST_SIGN * n) for x in LEET[c]] + ([(x, COST_SIGN * n) for x in LEET[c]] if n > 1 else [])
-            own.append((" ", COST_KEEP if c.isdigit() else COST_BREAK))
+            own.append((" ", COST_KEEP if c.isdigit() else 0.0 if outer else COST_BREAK))
             if not c.isdigit():
                 own.append(("", COST_BREAK))
             steps.append(own)
@@ -108,8 +126,20 @@ def _class_of(c: str) -> int:
     return int(_CLASS[ord(c)]) if c.isascii() else _OTHER
 
 
+def _as_it_stands(text: str, costs: np.ndarray) -> float:
+    """The cost of a stretch read without restoring anything."""
+    a = b = c = 0
+    total = 0.0
+    for letter in text + " ":
+        d = _class_of(letter) if letter.isalnum() else 0
+        if d or c:
+            total += float(costs[a, b, c, d])
+            a, b, c = b, c, d
+    return total
+
+
 def restore(text: str, costs: np.ndarray, beam: int = BEAM) -> str:
-    """The cheapest reading of a lower-case obfuscated stretch."""
+    """The cheapest reading of a lower-case obfuscated stretch, which may be what stands there."""
     paths: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
     for step in [*_lattice(text), [(" ", 0.0)]]:
         after: dict[tuple[int, int, int], tuple[float, str]] = {}
@@ -128,7 +158,8 @@ def restore(text: str, costs: np.ndarray, beam: int = BEAM) -> str:
                 if old is None or (total, out) < old:
                     after[a, b, c] = (total, out)
         paths = after if len(after) <= beam else dict(sorted(after.items(), key=lambda kv: kv[1])[:beam])
-    return min(paths.values())[1].strip()
+    cost, done = min(paths.values())
+    return text if _as_it_stands(text, costs) <= cost else done.strip()
 
 
 class Reader:
@@ -148,11 +179,19 @@ class Reader:
         return out
 
     def stretches(self, data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of stretches to restore: odd words, and single letters in a row."""
+        """Starts and ends of stretches to restore: odd words, single letters in a row, and fragments."""
         size = len(data)
         if not len(words):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        letter, sign = _LETTER[data], _SIGN[data]
+        letter, sign, join = _LETTER[data], _SIGN[data], _JOINER[data]
+        for bytes_, kind in _WIDE:
+            at = np.flatnonzero(data == bytes_[0])
+            at = at[at + bytes_[-1] <= size]
+            for k, byte in enumerate(bytes_[1:-1], 1):
+                at = at[data[at + k] == byte]
+            for k in range(bytes_[-1]):
+                letter[at + k] = False
+                (sign if kind else join)[at + k] = True
         inner = letter | sign
         # the core of a word: without signs at its ends that stand for nothing
         mark = np.flatnonzero(inner)
@@ -161,25 +200,25 @@ class Reader:
         full = to > at
         begin = np.where(full, mark[np.minimum(at, max(len(mark) - 1, 0))] if len(mark) else 0, words.starts)
         end = np.where(full, (mark[np.maximum(to - 1, 0)] if len(mark) else 0) + 1, words.starts)
-        # signs that close a word ("!", "$$$") stay outside it, those within count
+        # a single letter of a spelled word may have signs ("!", "$$$") behind it
         letters = np.flatnonzero(letter)
         last = np.searchsorted(letters, end) - 1
         first = np.searchsorted(letters, begin)
         has = full & (last >= first)
         tail = np.where(has, (letters[np.maximum(last, 0)] if len(letters) else 0) + 1, begin)
         digit = (data >= 48) & (data < 58)
-        end = np.where(has & (end > tail) & ~digit[np.minimum(end - 1, size - 1)], tail, end)
-        end = np.maximum(end, begin)
+        bare = np.where(has & (end > tail) & ~digit[np.minimum(end - 1, size - 1)], tail, end)
+        bare = np.maximum(bare, begin)
         count = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
-        n_letter, n_sign, n_join = count(letter), count(sign), count(_JOINER[data])
+        n_letter, n_sign, n_join = count(letter), count(sign), count(join)
         low = _FOLD[data]
         triple = np.zeros(size, bool)
         triple[2:] = letter[2:] & (data[2:] < 128) & (low[2:] == low[1:-1]) & (low[2:] == low[:-2])
         n_triple = count(triple)
         within = lambda c: c[end] - c[begin]
         lettered = within(n_letter)
-        odd = (lettered > 0) & ((within(n_sign) > 0) | (within(n_triple) > 0) | ((within(n_join) >= 2) & (lettered <= 2 * within(n_join) + 2)))
-        single = full & (end - begin == 1)
+        odd = (lettered > 0) & ((within(n_sign) > 0) | (within(n_triple) > 0) | (within(n_join) > 0))
+        single = full & (bare - begin == 1)
         # rows end a run of single letters
         edge = np.zeros(len(words) + 1, bool)
         edge[words.first] = True
@@ -192,12 +231,55 @@ class Reader:
         spelled = np.zeros(len(words) + 1, np.int64)
         np.add.at(spelled, a, 1)
         np.add.at(spelled, b + 1, -1)
-        odd &= np.cumsum(spelled)[:-1] == 0
-        starts = np.concatenate([begin[odd], begin[a]])
-        ends = np.concatenate([end[odd], end[b]])
+        free = np.cumsum(spelled)[:-1] == 0
+        odd &= free
+        c, d = self.fragments(data, words, begin, end, free & full & ~odd & (lettered == end - begin), edge)
+        starts = np.concatenate([begin[odd], begin[a], begin[c]])
+        ends = np.concatenate([end[odd], bare[b], end[d]])
         order = np.argsort(starts)
         return starts[order], ends[order]
 
+    def fragments(self, data: np.ndarray, words: Words, begin: np.ndarray, end: np.ndarray, plain: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last words of runs of short words whose letters, joined, are nearly worth the spaces' cost."""
+        char = (data < 128) | (data >= 192)
+        n_char = np.concatenate([[0], np.cumsum(char, dtype=np.int64)])
+        short = plain & (n_char[end] - n_char[begin] <= FRAGMENT)
+        gap = np.flatnonzero(short[:-1] & short[1:] & ~edge[1:-1] & (end[:-1] == words.ends[:-1]) & (begin[1:] == words.starts[1:]))
+        none = np.zeros(0, np.int64)
+        if not len(gap):
+            return none, none
+        # letters without gaps, and the word of each; padded so that a look beyond the ends is another word
+        owner = np.repeat(np.arange(len(begin)), np.where(short, n_char[end] - n_char[begin], 0))
+        first = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(begin)))])
+        letters = _CLASS[data[char]][n_char[begin][owner] + np.arange(len(owner)) - first[owner]]
+        letters = np.concatenate([np.zeros(3, np.int64), letters, np.zeros(3, np.int64)])
+        owner = np.concatenate([np.full(3, -9), owner, np.full(3, len(begin) + 9)])
+        at = first[gap + 1] + 3
+        best = np.full(len(gap), -np.inf, np.float32)
+        for near in range(3):
+            left = self._beside(letters, owner, at - 1, -1, gap, near)
+            for far in range(3):
+                right = self._beside(letters, owner, at, 1, gap + 1, far)
+                joined = [*left[::-1], *right]
+                broken = [*left[::-1], np.zeros(len(gap), np.int64), *right]
+                gain = sum(self.costs[tuple(broken[k - 3 : k + 1])] for k in range(3, 7)) - sum(self.costs[tuple(joined[k - 3 : k + 1])] for k in range(3, 6))
+                np.maximum(best, gain, out=best)
+        gap = gap[best > COST_SPACE - NEAR]
+        if not len(gap):
+            return none, none
+        new = np.flatnonzero(np.diff(gap, prepend=-2) != 1)
+        return gap[new], gap[np.append(new[1:], len(gap)) - 1] + 1
+
+    @staticmethod
+    def _beside(letters: np.ndarray, owner: np.ndarray, at: np.ndarray, way: int, word: np.ndarray, joined: int) -> list[np.ndarray]:
+        """The three classes beside a gap, nearest first, if so many gaps further on are joined."""
+        out, ended = [], np.zeros(len(at), bool)
+        for k in range(3):
+            place = np.clip(at + way * k, 0, len(letters) - 1)
+            ended = ended | (np.abs(owner[place] - word) > joined)
+            out.append(np.where(ended, 0, letters[place]))
+        return out
+
     def texts(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple[int, int, int, str]]]]:
         """(first row, bytes, bounds, (row, start, end, restored) of every stretch) for runs of rows."""
         for at, _, data, bounds in slices(texts):

@@ -2,9 +2,15 @@
 
 import random
 
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline as P
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline as P
-from riskloom.llm import jaccard
+from riskloom.llm import jaccard, toxicity
 
 
 def components(texts):
@@ -43,3 +49,23 @@ def test_an_id_on_two_rows_loses_only_the_copy(spark):
     assert out.columns == docs.columns
     left = [(r.doc_id, r.text) for r in out.collect()]
     assert len(left) == len(set(left)) and set(left) == {(1, copy), (2, own), (3, other), (None, copy), (5, None), (5, "")}
+
+
+def letter_model():
+    r = random.Random(4)
+    words = ["idiot", "stupid", "worthless", "ass", "the", "garden", "opens", "early", "when", "rain", "falls", "over", "town", "river"]
+    text = pa.array([" ".join(r.choices(words, k=40)) for _ in range(200)])
+    return toxicity.letter_costs(toxicity.letter_counts(pa.record_batch([text], names=["text"])))
+
+
+@pytest.mark.parametrize("form, word", [("id.iot", "idiot"), ("id·iot", "idiot"), ("stu pid", "stupid"), ("id iot", "idiot"), ("wor-th-less", "worthless"), ("a$$", "ass"), ("$tupid", "stupid"), ("worthl€ss", "worthless"), ("1diot!!", "idiot")])
+def test_separators_spaces_and_signs_reach_the_lattice(form, word):
+    text = f"the garden {form} opens early"
+    ((_, data, _, fixed),) = toxicity.Reader(letter_model()).texts(pa.array([text]))
+    assert [(data[a:b].tobytes().decode(), s) for _, a, b, s in fixed if data[a:b].tobytes().decode() != s] == [(form, word)]
+
+
+def test_what_stands_there_is_a_reading():
+    text = "the town, over rain! when the river falls (early) garden-town"
+    ((_, data, _, fixed),) = toxicity.Reader(letter_model()).texts(pa.array([text]))
+    assert all(data[a:b].tobytes().decode() == s for _, a, b, s in fixed)
