@@ -40,7 +40,6 @@ COST_SIGN, COST_KEEP, COST_JOIN, COST_BREAK, COST_SINGLE, COST_DOUBLE = 0.3, 6.0
 COST_SPACE, NEAR = 4.0, 2.0
 #: Letters of a fragment at most.
 FRAGMENT = 5
-BEAM = 24
 #: Spelled-out words have so many single letters in a row at least.
 SPELLED = 3
 
@@ -138,7 +137,7 @@ def _as_it_stands(text: str, costs: np.ndarray) -> float:
     return total
 
 
-def restore(text: str, costs: np.ndarray, beam: int = BEAM) -> str:
+def restore(text: str, costs: np.ndarray) -> str:
     """The cheapest reading of a lower-case obfuscated stretch, which may be what stands there."""
     paths: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
     for step in [*_lattice(text), [(" ", 0.0)]]:
@@ -157,7 +156,7 @@ def restore(text: str, costs: np.ndarray, beam: int = BEAM) -> str:
                 old = after.get((a, b, c))
                 if old is None or (total, out) < old:
                     after[a, b, c] = (total, out)
-        paths = after if len(after) <= beam else dict(sorted(after.items(), key=lambda kv: kv[1])[:beam])
+        paths = after
     cost, done = min(paths.values())
     return text if _as_it_stands(text, costs) <= cost else done.strip()
 

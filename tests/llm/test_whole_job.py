@@ -1,11 +1,14 @@
 """Cases in which an operator once did less than the whole job, against brute force."""
 
+import itertools
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline as P
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -69,3 +72,24 @@ def test_what_stands_there_is_a_reading():
     text = "the town, over rain! when the river falls (early) garden-town"
     ((_, data, _, fixed),) = toxicity.Reader(letter_model()).texts(pa.array([text]))
     assert all(data[a:b].tobytes().decode() == s for _, a, b, s in fixed)
+
+
+def test_many_signs_in_a_row_lose_no_reading():
+    """Random letter costs, so any state may turn out cheapest; against all paths of the lattice."""
+    costs = np.random.default_rng(2).uniform(0, 6, (toxicity.CLASSES,) * 4).astype(np.float32)
+
+    def cost_of(path):
+        total, state = 0.0, (0, 0, 0)
+        for letters, extra in path:
+            total += extra
+            for letter in letters:
+                d = toxicity._class_of(letter)
+                if d or state[2]:
+                    total += float(costs[*state, d])
+                    state = (*state[1:], d)
+        return total
+
+    for text in ("a((!!@@||11b", "a11++$$@@||b", "a11@@$$++((b", "a11!!((||@@b", "a||!!11@@((b", "a11$$++!!@@b"):
+        best = min(itertools.product(*toxicity._lattice(text), [(" ", 0.0)]), key=cost_of)
+        want = text if toxicity._as_it_stands(text, costs) <= cost_of(best) else " ".join("".join(x for x, _ in best).split())
+        assert toxicity.restore(text, costs) == want
