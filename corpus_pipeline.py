@@ -18,9 +18,6 @@ from riskloom.llm.io import table, written
 from riskloom.llm.linear import THRESHOLD
 from riskloom.llm.tokens import vocabulary_path
 
-#: A document must be so likely of label 1 to be kept by the quality stage: that is, not likelier rejected than kept.
-QUALITY_FLOOR = 0.5
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text is not toxic; learnt from the labelled documents among docs."""
@@ -29,9 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of good quality; learnt from the labelled documents among docs."""
+    """Documents that op4_quality would predict as good; learnt from the labelled documents among docs."""
     weights = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, weights, "pipeline_score").where(F.col("pipeline_score") >= QUALITY_FLOOR).select(*docs.columns)
+    return quality.score(docs, weights, "pipeline_score").where(F.col("pipeline_score") >= THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

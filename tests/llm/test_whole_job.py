@@ -93,3 +93,11 @@ def test_many_signs_in_a_row_lose_no_reading():
         best = min(itertools.product(*toxicity._lattice(text), [(" ", 0.0)]), key=cost_of)
         want = text if toxicity._as_it_stands(text, costs) <= cost_of(best) else " ".join("".join(x for x, _ in best).split())
         assert toxicity.restore(text, costs) == want
+
+
+def test_quality_stage_decides_as_its_operator(spark, monkeypatch):
+    docs = spark.createDataFrame([(4, "a"), (6, "b"), (7, "c"), (9, "d")], "doc_id long, text string")
+    monkeypatch.setattr(P, "table", lambda *_: None)
+    monkeypatch.setattr(P.quality, "train", lambda *_: None)
+    monkeypatch.setattr(P.quality, "score", lambda docs, _, column: docs.withColumn(column, docs.doc_id / 10))
+    assert {r.doc_id for r in P.drop_poor(spark, docs, "").collect()} == {7, 9}
