@@ -12,11 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where none is set, as in tests."""
+    """The folder all executors share. Where none is set: one of our own in a local session, as in tests, an error on a cluster."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
         current = sc._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = current.get() if current.isDefined() else "file:///tmp/riskloom-shared"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(where)
@@ -32,7 +34,17 @@ def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete tables that written() made and that nothing will read again."""
+    for frame in frames:
+        jvm = frame.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(frame._written_at)
+        where.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -7,11 +7,6 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-import corpus_pipeline as P
-import numpy as np
-import pyarrow as pa
-import pytest
-
 import corpus_pipeline as P
 from riskloom.llm import jaccard, toxicity
 
@@ -43,6 +38,42 @@ def test_bridges_over_lists_of_two(spark):
     assert {r.doc_id: r.component_id for r in out} == low
 
 
+def test_links_that_meet_in_lists_of_two_only(spark):
+    """Each text with its first word changed, and with its last: each change leaves 6 of 8 shingles, 75 % exactly."""
+    r, texts = random.Random(2), []
+    for k in range(1500):
+        own = [f"{r.randrange(10**9)}" for _ in range(11)]
+        for n, w in enumerate((own, ["first", *own[1:]], [*own[:-1], "last"])):
+            texts.append((3 * k + n, " ".join(w)))
+    r.shuffle(texts)
+    out = jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(out) == 4500 and [x for x in out if x.component_id != x.doc_id // 3 * 3 or x.n_shingles != 7] == []
+
+
+def test_long_list_of_one_component_and_a_stranger():
+    """20,000 sets in one list and one component, but for one: 20,000 pairs at most are ever held."""
+    n, place = np.full(20_001, 150), np.zeros(20_001, np.int64)
+    group = np.zeros(20_001, np.int64)
+    group[777] = 5
+    held = [len(a) for a, _ in jaccard._block_pairs(n, place, group)]
+    assert sum(held) == 20_000 and max(held) <= 20_000
+    half = np.arange(20_001) % 2
+    assert max(len(a) for a, _ in itertools.islice(jaccard._block_pairs(n, place, half), 3)) <= 2 * jaccard.BLOCK_PAIRS
+
+
+def test_counts_in_buckets_never_hide_a_link():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        a = r.choice(2**40, 120, replace=False)
+        b = np.concatenate([a[r.integers(0, 60) :], r.choice(2**40, int(r.integers(0, 40)))])
+        both, n = len(np.intersect1d(a, b)), np.array([len(np.unique(a)), len(np.unique(b))])
+        counts = np.stack([np.bincount(np.unique(x) % jaccard.SKETCH, minlength=jaccard.SKETCH) for x in (a, b)])
+        lists = jaccard.Lists(np.array([1, 2], np.uint64), n, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64))
+        state = jaccard.State(lists.sig, np.array([1, 2]), np.array([1, 2]), np.array([-1, -1]), [x.astype(np.uint8).tobytes() for x in counts])
+        if jaccard.linked(both, *n):
+            assert state.of(lists).may_link(np.array([0]), np.array([1])).all()
+
+
 def test_an_id_on_two_rows_loses_only_the_copy(spark):
     """Id 2 stands on a copy of 1 and on a text of its own, which nothing is like."""
     copy, own, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
