@@ -1,18 +1,22 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, kept as sorted hash arrays.
-
-Words are 64-bit hashes and parts of the model are ranges of hashes. Two shuffles
-of packed arrays carry everything, no row for a single token:
-
-* types (word, word before it, count), dealt by the word, give each word's count,
-  the number of different words before it, and the counts of counts from which
-  the discounts follow; what a part of the model needs of that is sent to it;
-* events (word before, word, document), dealt by the word before, give the bigram
-  counts. Each part writes its bigrams and words as sorted hash arrays to a file,
-  maps the file into memory and looks its events up; sums by document come back.
-
-Words with more than a part's share of all tokens are hot: as a context or as a
-word their counts are summed up beforehand over many tasks, and their events are
-dealt by both words.
+"""Interpolated modified Kneser-Ney trigram model, counted in Spark, kept as sorted hash arrays.
+
+Words are 64-bit hashes. Each word of a text is an event (word two before, word
+before, word); texts are split twice, once for a sketch of word counts, once for the
+events:
+
+* Events go, packed, to the part of the model that the word before belongs to. All
+  trigrams, bigrams and contexts with that word in their middle or front meet there,
+  so trigram counts and the numbers of different words before a bigram are counted
+  in one place, and kept with the part's events as a table.
+* What a part lacks are totals over all parts: of words, and of contexts with a hot
+  word. It asks for them with its own share of each; shares are added up by key and
+  the totals sent back to the parts that asked.
+* Each part writes its n-grams, contexts and words as sorted hash arrays to a file,
+  maps the file into memory and looks its events up; sums by document come back to
+  where the document's events were packed.
+
+A word whose bucket of the sketch holds more than a part's share of all tokens is
+hot: its events are dealt by it and the word after, so no part grows with it.
 """
 
 from __future__ import annotations
@@ -28,19 +32,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.io import table, text_batches, written
+from riskloom.llm.io import forget, table, text_batches, written
 from riskloom.llm.linear import in_fold
 from riskloom.llm.tally import tally
 from riskloom.llm.textkernel import Words, mix, slices
 
+ORDER = 3
 FOLDS, HELD_OUT = 7, 2
 #: Events of a part of the model, on average, and events a task packs at once.
 PART_EVENTS = 2_000_000
 PACK_EVENTS = 2_000_000
-#: Documents whose sums are added up in one group, on average.
-DEAL_ROWS = 10_000
+#: Parts whose questions are answered in one group, on average.
+DEAL_PARTS = 16
+#: Packs whose sums are added up in one group, on average.
+DEAL_PACKS = 2
 SKETCH_BITS = 20
 START, END = 1, 2
+#: What parts ask for: words, contexts of two words, contexts of one.
+WORD, TWO, ONE = range(3)
 
 
 class HashArrays:
@@ -78,6 +87,15 @@ def _unzip(raw: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """Ascending keys as differences, their bytes by place: the upper ones are nearly all zero."""
+    return np.diff(ascending, prepend=np.zeros(1, np.uint64)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+
+
+def _ascending(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(steps.reshape(8, -1).T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Ranges of the upper half of the hash."""
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -87,15 +105,6 @@ def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v * np.uint64(0x9FB21C651E98DF25) + w)
 
 
-def row_key(doc_id: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """A key of (doc_id, words); rows alike in both share it."""
-    count = np.diff(first)
-    place = (np.arange(len(hashes)) - np.repeat(first[:-1], count)).astype(np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ (place * np.uint64(0xA24BAED4963EE407))), dtype=np.uint64)])
-    own, n = total[first[1:]] - total[first[:-1]], count.astype(np.uint64)
-    return mix(mix(doc_id.astype(np.int64).view(np.uint64) + np.uint64(7)) + own * np.uint64(3) + n)
-
-
 def token_runs(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, lower-cased words' hashes, where each row's begin)."""
     for at, _, data, bounds in slices(batch.column(1)):
@@ -105,169 +114,146 @@ def token_runs(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndar
 
 def _prepared(docs: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
-    return text_batches(docs).select(F.coalesce(doc_id, F.lit(-(2**62))).alias("doc_id"), F.col("text").cast("string"), in_fold(doc_id, FOLDS, HELD_OUT).alias("held_out"))
+    return text_batches(docs).select(F.coalesce(doc_id, F.lit(0)).alias("doc_id"), F.col("text").cast("string"), in_fold(doc_id, FOLDS, HELD_OUT).alias("held_out"), doc_id.isNull().alias("nameless"))
 
 
-def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of events: distinct words ascending, places of the word before and of the word, row, and (row key, in training)."""
-    held: list[list[np.ndarray]] = [[], [], [], [], []]
-    rows = 0
+class Pack:
+    """Events of some rows: words ascending, places of the word two before, the word before and the word, row; and the rows."""
 
-    def flush():
-        word, first, key, train = (np.concatenate(x) for x in held[:4])
-        counts = first
+    def __init__(self, word: np.ndarray, count: np.ndarray, doc_id: np.ndarray, held_out: np.ndarray, nameless: np.ndarray):
         code, distinct = pd.factorize(np.concatenate([np.array([START, END], np.uint64), word]))
         order = np.argsort(distinct)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         code = place[code]
         start, end, code = code[0], code[1], code[2:]
-        ends = np.cumsum(counts)
-        # a row's events: its words, each after the one before, and the end
-        w = np.insert(code, ends, end)
-        v = np.insert(code, ends - counts, start)
-        row = np.repeat(np.arange(len(counts)), counts + 1)
-        return distinct[order], v, w, row, key, train
-
-    n = 0
+        ends = np.cumsum(count)
+        # a row's events: its words, each after the two before, and the end
+        self.words = distinct[order]
+        self.w = np.insert(code, ends, end)
+        self.v = np.insert(code, ends - count, start)
+        first = np.cumsum(count + 1) - (count + 1)
+        self.u = np.empty_like(self.v)
+        self.u[1:] = self.v[:-1]
+        self.u[first] = start
+        self.row = np.repeat(np.arange(len(count)), count + 1)
+        self.doc_id, self.held_out, self.nameless, self.n_tokens = doc_id, held_out, nameless, count + 1
+        self.key = int(mix(np.concatenate([doc_id.view(np.uint64) + np.uint64(3), distinct, count.astype(np.uint64)])).sum(dtype=np.uint64).view(np.int64))
+
+    def sent(self, part: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(part, packed events) by part."""
+        order = np.argsort(((part * len(self.words) + self.v) * len(self.words)) + self.w, kind="stable")
+        used, begin = np.unique(part[order], return_index=True)
+        for p, a, b in zip(used.tolist(), begin, [*begin[1:], len(order)], strict=True):
+            own = order[a:b]
+            v, n = np.unique(self.v[own], return_counts=True)
+            words, code = np.unique(np.concatenate([v, self.w[own], self.u[own]]), return_inverse=True)
+            mark = 2 * self.row[own] + self.held_out[self.row[own]]
+            kind = "<u2" if max(len(words), int(mark.max()) + 1) <= 1 << 16 else "<u4"
+            yield p, _zip(np.array([kind == "<u4"], "u1"), np.array([self.key], "<i8"), _steps(self.words[words]), n.astype("<u4"), code[: len(v)].astype(kind), code[len(v) : len(v) + len(own)].astype(kind), code[len(v) + len(own) :].astype(kind), mark.astype(kind))
+
+    def rows(self) -> bytes:
+        return _zip(np.array([self.key], "<i8"), self.doc_id.astype("<i8"), self.held_out.astype("u1"), self.nameless.astype("u1"), self.n_tokens.astype("<i8"))
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[Pack]:
+    held: list[list[np.ndarray]] = [[], [], [], [], []]
+    n = rows = 0
     for batch in batches:
-        ids, out = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+        ids, out, nameless = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
         for at, word, first in token_runs(batch):
             to = at + len(first) - 1
-            held[0].append(word)
-            held[1].append(np.diff(first))
-            held[2].append(row_key(ids[at:to], first, word))
-            held[3].append(~out[at:to])
+            for have, more in zip(held, (word, np.diff(first), ids[at:to], out[at:to], nameless[at:to]), strict=True):
+                have.append(more)
             n += len(word)
             rows += to - at
         if n >= PACK_EVENTS:
-            yield flush()
+            yield Pack(*(np.concatenate(x) for x in held))
             held, n, rows = [[], [], [], [], []], 0, 0
     if rows:
-        yield flush()
+        yield Pack(*(np.concatenate(x) for x in held))
 
 
-def _types(docs: DataFrame, parts: int, hot: np.ndarray | None, role: str) -> DataFrame:
-    """part, blob: types dealt by the word; of hot words or contexts alone, by both."""
+def _sent(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
+    """part, events, rows: packed events by part; the rows of a pack go along to one part."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_words = shared.value
-        for distinct, v, w, row, _, train in _events(batches):
-            n = np.int64(len(distinct))
-            key = w * n + v
-            is_hot = np.isin(distinct, hot_words)
-            if role != "word":
-                key = key[is_hot[v] if role == "hot context" else is_hot[w]]
-                flag = train[row][is_hot[v] if role == "hot context" else is_hot[w]]
-            else:
-                keep = ~is_hot[w]
-                key, flag = key[keep], train[row][keep]
-            if not len(key):
-                continue
-            order = np.argsort(key, kind="stable")
-            key, flag = key[order], flag[order]
-            edge = np.flatnonzero(np.diff(key, prepend=-1))
-            count = np.add.reduceat(flag.astype(np.int64), edge)
-            key = key[edge]
-            w_at, v_at = key // n, key % n
-            where = part_of(distinct[w_at], parts) if role == "word" else (pair_key(distinct[v_at], distinct[w_at]) % np.uint64(parts)).astype(np.int64)
-            if role != "word":
-                again = np.argsort(where, kind="stable")
-                where, w_at, v_at, count = where[again], w_at[again], v_at[again], count[again]
-            used, begin = np.unique(where, return_index=True)
-            blobs = []
-            for a, b in zip(begin, [*begin[1:], len(where)], strict=True):
-                if role == "word":
-                    who, size = np.unique(w_at[a:b], return_counts=True)
-                    blobs.append(_zip(distinct[who], size.astype("<u4"), (distinct[v_at[a:b]] >> np.uint64(32)).astype("<u4"), count[a:b].astype("<u4")))
-                else:
-                    blobs.append(_zip(distinct[w_at[a:b]], distinct[v_at[a:b]], count[a:b].astype("<u4")))
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "blob"])
-
-    return _prepared(docs).mapInArrow(run, "part long, blob binary")
+        for pack in _packs(batches):
+            part = part_of(pack.words, parts)[pack.v]
+            is_hot = _is_hot(pack.words, shared.value)[pack.v]
+            part[is_hot] = (pair_key(pack.words[pack.v[is_hot]], pack.words[pack.w[is_hot]]) % np.uint64(parts)).astype(np.int64)
+            for p, blob in pack.sent(part):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([blob], pa.binary()), pa.nulls(1, pa.binary())], names=["part", "events", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([pack.key % parts], pa.int64()), pa.nulls(1, pa.binary()), pa.array([pack.rows()], pa.binary())], names=["part", "events", "rows"])
 
+    return _prepared(docs).mapInArrow(run, "part long, events binary, rows binary")
 
-def _count_stats(count: np.ndarray) -> list[int]:
-    return [int((count == k).sum()) for k in (1, 2, 3, 4)]
 
+def _is_hot(words: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    return np.isin(words >> np.uint64(64 - SKETCH_BITS), buckets) if len(buckets) else np.zeros(len(words), bool)
 
-def _hot_counts(docs: DataFrame, hot: np.ndarray, parts: int, role: str) -> pd.DataFrame:
-    """word, total, n1, n2, n3 (types seen once, twice, more often), s1..s4 for each hot word; as many rows as hot words."""
-
-    def add(rows: pa.Table) -> pa.Table:
-        w, v, c = (np.concatenate(x) for x in zip(*(_unzip(raw, "<u8", "<u8", "<u4") for raw in rows["blob"].to_pylist()), strict=True))
-        frame = pd.DataFrame({"w": w, "v": v, "c": c.astype(np.int64)}).groupby(["w", "v"], as_index=False).c.sum()
-        frame = frame[frame.c > 0]
-        g = frame.assign(n1=frame.c == 1, n2=frame.c == 2, n3=frame.c > 2, s3=frame.c == 3, s4=frame.c == 4).groupby("v" if role == "hot context" else "w")[["c", "n1", "n2", "n3", "s3", "s4"]].sum().astype("int64")
-        return pa.table({"word": pa.array(g.index.to_numpy().astype(np.uint64).view(np.int64), pa.int64()), **{k: pa.array(g[k].to_numpy(), pa.int64()) for k in g.columns}})
-
-    names = ("c", "n1", "n2", "n3", "s3", "s4")
-    schema = "word long, " + ", ".join(f"{k} long" for k in names)
-    rows = _types(docs, parts, hot, role).groupBy("part").applyInArrow(add, schema)
-    return rows.groupBy("word").agg(*[F.sum(k).alias(k) for k in names]).toPandas()
-
-
-def _word_stats(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
-    """For each part of the model the words it meets (part, blob), and rows of sums over all words (stats)."""
-
-    def add(rows: pa.Table) -> pa.Table:
-        w, size, v, c = (list(x) for x in zip(*(_unzip(raw, "<u8", "<u4", "<u4", "<u4") for raw in rows["blob"].to_pylist()), strict=True))
-        word, at = np.unique(np.concatenate(w), return_inverse=True)
-        at = np.repeat(at, np.concatenate(size))
-        key = (at.astype(np.uint64) << np.uint64(32)) | np.concatenate(v).astype(np.uint64)
-        order = np.argsort(key)
-        key, c = key[order], np.concatenate(c).astype(np.int64)[order]
-        edge = np.flatnonzero(np.diff(key, prepend=key[:1] ^ np.uint64(1)))
-        c, key = np.add.reduceat(c, edge), key[edge]
-        at = (key >> np.uint64(32)).astype(np.int64)
-        total = np.bincount(at, c, len(word)).astype(np.int64)
-        before = np.bincount(at[c > 0], minlength=len(word))
-        stats = [*_count_stats(c), *_count_stats(before), int(before.sum()), int((total > 0).sum()), int(total.sum())]
-        # what each part of the model meets of these words
-        half = key & np.uint64(0xFFFFFFFF)
-        need = at * parts + (half * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        if len(hot):
-            # events after a hot word lie in parts by both words
-            by_half = hot[np.argsort(hot >> np.uint64(32))]
-            place = np.minimum(np.searchsorted(by_half >> np.uint64(32), half), len(hot) - 1)
-            is_hot = by_half[place] >> np.uint64(32) == half
-            need = np.concatenate([need, at[is_hot] * parts + (pair_key(by_half[place[is_hot]], word[at[is_hot]]) % np.uint64(parts)).astype(np.int64)])
-        need = np.unique(need)
-        at, where = need // parts, need % parts
-        order = np.argsort(where, kind="stable")
-        at, where = at[order], where[order]
-        used, begin = np.unique(where, return_index=True)
-        blobs = [_zip(word[at[a:b]], before[at[a:b]].astype("<u4"), total[at[a:b]].astype("<u8")) for a, b in zip(begin, [*begin[1:], len(where)], strict=True)]
-        return pa.table({"part": pa.array([*used.tolist(), None], pa.int64()), "blob": pa.array([*blobs, None], pa.binary()), "stats": pa.array([*[None] * len(blobs), stats], pa.list_(pa.int64()))})
-
-    return _types(docs, parts, hot, "word").groupBy("part").applyInArrow(add, "part long, blob binary, stats array<long>")
-
-
-def _packed_events(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
-    """part, blob: events dealt by the word before; after hot ones, by both words."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_words = shared.value
-        for distinct, v, w, row, keys, train in _events(batches):
-            where = part_of(distinct, parts)[v]
-            is_hot = np.isin(distinct, hot_words)[v]
-            if is_hot.any():
-                where[is_hot] = (pair_key(distinct[v[is_hot]], distinct[w[is_hot]]) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort((where * len(distinct) + v) * len(distinct) + w)
-            where, v, w, row = where[order], v[order], w[order], row[order]
-            used, begin = np.unique(where, return_index=True)
-            blobs = []
-            for a, b in zip(begin, [*begin[1:], len(where)], strict=True):
-                v_at, v_n = np.unique(v[a:b], return_counts=True)
-                w_at, w_code = np.unique(w[a:b], return_inverse=True)
-                r_at, r_code = np.unique(row[a:b], return_inverse=True)
-                code = "<u2" if max(len(w_at), len(r_at)) <= 1 << 16 else "<u4"
-                blobs.append(_zip(np.array([code == "<u4"], "u1"), distinct[v_at], v_n.astype("<u4"), distinct[w_at], w_code.astype(code), keys[r_at], train[r_at].astype("u1"), r_code.astype(code)))
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "blob"])
-
-    return _prepared(docs).mapInArrow(run, "part long, blob binary")
+class Events:
+    """One part's events, and what is counted from those outside the held-out fold."""
+
+    def __init__(self, blobs: list[bytes], hot: np.ndarray):
+        u, v, w, mark, pack = [], [], [], [], []
+        for raw in blobs:
+            wide = zlib.decompress(raw[4 + 4 * 8 :][: int(np.frombuffer(raw, "<u4", 1, 4)[0])])[0]
+            kind = "<u4" if wide else "<u2"
+            _, key, steps, n, v_at, w_at, u_at, row = _unzip(raw, "u1", "<i8", "u1", "<u4", kind, kind, kind, kind)
+            words = _ascending(steps)
+            v.append(np.repeat(words[v_at], n))
+            w.append(words[w_at])
+            u.append(words[u_at])
+            mark.append(row.astype(np.int64))
+            pack.append((int(key[0]), len(row)))
+        empty = np.zeros(0, np.uint64)
+        self.u, self.v, self.w = (np.concatenate(x) if x else empty for x in (u, v, w))
+        mark = np.concatenate(mark) if mark else np.zeros(0, np.int64)
+        self.row, self.packs = mark >> 1, pack
+        learnt = mark & 1 == 0
+        self.pair, self.context = pair_key(self.v, self.w), pair_key(self.u, self.v)
+        self.triple = pair_key(self.u, self.pair)
+        self.words, self.word_count = np.unique(self.w, return_inverse=True)
+        self.word_count = np.bincount(self.word_count, learnt, len(self.words))
+        self.triples, first, self.times = np.unique(self.triple[learnt], return_index=True, return_counts=True)
+        own = np.flatnonzero(learnt)[first]
+        self.pairs, first, self.before = np.unique(self.pair[own], return_index=True, return_counts=True)
+        of_pair = own[first]
+        self.pair_words, self.pair_word_count = np.unique(self.w[of_pair], return_counts=True)
+        # contexts of two words by the trigrams in them, contexts of one by the bigrams
+        self.two = _by_count(self.context[own], self.times)
+        self.one = _by_count(self.v[of_pair], self.before)
+        self.hot = _is_hot(self.v, hot)
+        self.hot_one = np.unique(self.v[self.hot])
+        self.hot_two = np.unique(self.context[self.hot])
+
+    def asked(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By kind, keys of what the part lacks, ascending, and its own share of each: four numbers."""
+        word = np.zeros((len(self.words), 4))
+        word[np.searchsorted(self.words, self.pair_words), 0] = self.pair_word_count
+        word[:, 1] = self.word_count
+        out = [(self.words, word)]
+        for own, (names, counts) in ((self.hot_two, self.two), (self.hot_one, self.one)):
+            share = np.zeros((len(own), 4))
+            if len(names) and len(own):
+                place = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                known = names[place] == own
+                share[known] = counts[place[known]]
+            out.append((own, share))
+        return out
+
+
+def _by_count(context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts ascending, and of each the sum of its counts, and how many are 1, 2, more."""
+    names, at = np.unique(context, return_inverse=True)
+    return names, np.stack([np.bincount(at, x, len(names)) for x in (count, count == 1, count == 2, count > 2)], axis=1) if len(names) else np.zeros((0, 4))
+
+
+def _count_stats(count: np.ndarray) -> list[int]:
+    return [int((count == k).sum()) for k in (1, 2, 3, 4)]
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -284,31 +270,112 @@ def _discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
     return np.where(c > 0, c - np.array([0.0, *d])[np.minimum(c, 3).astype(np.int64)], 0.0)
 
 
-def _dealt(keys: np.ndarray, logp: np.ndarray, logc: np.ndarray, known: np.ndarray, deals: int) -> dict[str, pa.Array]:
-    """One part's sums by row key, packed by where they are added up."""
-    own, at = np.unique(keys, return_inverse=True)
-    logp, logc, known = (np.bincount(at, x, len(own)) for x in (logp, logc, known))
-    deal = (own % np.uint64(deals)).astype(np.int64)
-    order = np.argsort(deal, kind="stable")
-    used, begin = np.unique(deal[order], return_index=True)
-    blobs = [_zip(own[x], logp[x].astype("<f8"), logc[x].astype("<f8"), known[x].astype("<u4")) for x in np.split(order, begin[1:])]
-    return {"deal": pa.array(used, pa.int64()), "sums": pa.array(blobs, pa.binary())}
+def _rest(counts: np.ndarray, d: list[float]) -> np.ndarray:
+    """The mass that discounts leave in each context."""
+    return counts[:, 1] * d[0] + counts[:, 2] * d[1] + counts[:, 3] * d[2]
+
+
+_PART = "part long, events array<binary>, rows array<binary>, deal long, asked binary, stats array<long>"
+
+
+def _counted(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
+    """Each part's events and rows (part, events, rows), what it asks for by deal (part, deal, asked), and counts of counts (stats)."""
+    deals = max(1, -(-parts // DEAL_PARTS))
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(rows: pa.Table) -> pa.Table:
+        part = rows["part"][0].as_py()
+        blobs, packed = [x for x in rows["events"].to_pylist() if x is not None], [x for x in rows["rows"].to_pylist() if x is not None]
+        events = Events(blobs, shared.value)
+        stats = [*_count_stats(events.times), *_count_stats(events.before)]
+        asked = []
+        for kind, (keys, values) in enumerate(events.asked()):
+            deal = part_of(keys, deals)
+            for d in np.unique(deal).tolist():
+                own = deal == d
+                asked.append((kind * deals + d, _zip(_steps(keys[own]), *(values[own, k].astype("<u4") for k in range(4)))))
+        n = len(asked)
+        return pa.table(
+            {
+                "part": pa.array([part] * (n + 1), pa.int64()), "events": pa.array([blobs, *[None] * n], pa.list_(pa.binary())), "rows": pa.array([packed, *[None] * n], pa.list_(pa.binary())),
+                "deal": pa.array([None, *(d for d, _ in asked)], pa.int64()), "asked": pa.array([None, *(x for _, x in asked)], pa.binary()), "stats": pa.array([stats, *[None] * n], pa.list_(pa.int64())),
+            }
+        )
+
+    return _sent(docs, parts, hot).groupBy("part").applyInArrow(run, _PART)
+
+
+def _answered(counted: DataFrame, parts: int) -> DataFrame:
+    """part, kind, answer: totals of what each part asked for; and counts over all words (stats)."""
+    deals = max(1, -(-parts // DEAL_PARTS))
+
+    def run(rows: pa.Table) -> pa.Table:
+        kind, to = rows["deal"][0].as_py() // deals, rows["part"].to_pylist()
+        sent = [_unzip(raw, "u1", "<u4", "<u4", "<u4", "<u4") for raw in rows["asked"].to_pylist()]
+        own = [_ascending(x[0]) for x in sent]
+        keys, at = np.unique(np.concatenate(own), return_inverse=True)
+        total = [np.bincount(at, np.concatenate([x[1 + k] for x in sent]), len(keys)).astype("<u8") for k in range(4)]
+        answers = [_zip(_steps(k), *(x[np.searchsorted(keys, k)] for x in total)) for k in own]
+        stats = [*_count_stats(total[0]), int(total[0].sum()), int((total[1] > 0).sum()), int(total[1].sum()), int((total[0] > 0).sum())] if kind == WORD else None
+        n = len(to)
+        return pa.table({"part": pa.array([*to, None], pa.int64()), "kind": pa.array([kind] * (n + 1), pa.int32()), "answer": pa.array([*answers, None], pa.binary()), "stats": pa.array([*[None] * n, stats], pa.list_(pa.int64()))})
+
+    return counted.where("asked is not null").select("part", "deal", "asked").groupBy("deal").applyInArrow(run, "part long, kind int, answer binary, stats array<long>")
+
+
+def _dealt(events: Events, logp: np.ndarray, logc: np.ndarray, known: np.ndarray, rows: list[bytes], deals: int) -> dict[str, pa.Array]:
+    """One part's sums by pack and row, and the rows of packs that came along, by where they are added up."""
+    deal, pack, sums, begin = [], [], [], 0
+    for key, n in events.packs:
+        own, at = np.unique(events.row[begin : begin + n], return_inverse=True)
+        values = [np.bincount(at, x[begin : begin + n], len(own)) for x in (logp, logc, known)]
+        sums.append(_zip(own.astype("<u4"), values[0].astype("<f8"), values[1].astype("<f8"), values[2].astype("<u4")))
+        pack.append(key)
+        begin += n
+    for raw in rows:
+        pack.append(int(_unzip(raw, "<i8", "<i8", "u1", "u1", "<i8")[0][0]))
+    deal = [k % deals for k in pack]
+    return {"deal": pa.array(deal, pa.int64()), "pack": pa.array(pack, pa.int64()), "sums": pa.array([*sums, *[None] * len(rows)], pa.binary()), "rows": pa.array([*[None] * len(sums), *rows], pa.binary())}
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, logc double, logp double"
 
 
 def _summed(rows: pa.Table) -> pa.Table:
-    keys, *values = (np.concatenate(x) for x in zip(*(_unzip(raw, "<u8", "<f8", "<f8", "<u4") for raw in rows["sums"].to_pylist()), strict=True))
-    own, at = np.unique(keys, return_inverse=True)
-    logp, logc, known = (np.bincount(at, x, len(own)) for x in values)
-    return pa.table({"key": pa.array(own.view(np.int64), pa.int64()), "logp": pa.array(logp), "logc": pa.array(logc), "known": pa.array(known.astype(np.int64), pa.int64())})
+    """The rows of a group's packs with their sums over all parts."""
+    by_pack: dict[int, list] = {}
+    for pack, sums, own in zip(rows["pack"].to_pylist(), rows["sums"].to_pylist(), rows["rows"].to_pylist(), strict=True):
+        by_pack.setdefault(pack, [[], []])[0 if own is None else 1].append(sums if own is None else own)
+    out: list[list] = [[] for _ in range(7)]
+    for sent, own in by_pack.values():
+        # packs of the same rows in the same order share a key: as many copies of the rows, and of each part's sums
+        _, doc_id, held_out, nameless, n_tokens = _unzip(own[0], "<i8", "<i8", "u1", "u1", "<i8")
+        total = np.zeros((3, len(doc_id)))
+        for raw in sent:
+            at, *values = _unzip(raw, "<u4", "<f8", "<f8", "<u4")
+            for k in range(3):
+                total[k, at] += values[k]
+        total /= len(own)
+        for _ in own:
+            for have, more in zip(out, (doc_id, nameless, held_out, n_tokens, total[2], total[1], total[0]), strict=True):
+                have.append(more)
+    doc_id, nameless, held_out, n_tokens, known, logc, logp = (np.concatenate(x) for x in out)
+    return pa.table(
+        {
+            "doc_id": pa.array(doc_id, pa.int64(), mask=nameless.astype(bool)), "held_out": pa.array(held_out.astype(bool)), "n_tokens": pa.array(n_tokens, pa.int64()),
+            "n_known": pa.array(np.rint(known).astype(np.int64), pa.int64()), "logc": pa.array(logc), "logp": pa.array(logp),
+        }
+    )
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     Null and empty texts have the end token alone. Learning is from rows outside
-    the held-out fold; a null doc_id counts as an empty id text. Rows that repeat
-    are learnt and scored each. With nothing to learn from, every probability is
-    uniform over the unknown word. An empty table gives no rows.
+    the held-out fold; a null doc_id counts as an empty id text and comes back null.
+    Rows that repeat are learnt and scored each. With nothing to learn from, every
+    probability is uniform over the unknown word. Further columns are not read. An
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -321,119 +388,75 @@ def scores(docs: DataFrame) -> DataFrame:
         return out
 
     sketch = tally(_prepared(docs), words, (1 << SKETCH_BITS) + 1)
-    events = int(sketch.sum())
+    events, rows = int(sketch.sum()), int(sketch[-1])
+    sketch = sketch[:-1].copy()
+    # start and end stand in each row
+    for mark in (START, END):
+        sketch[mark >> (64 - SKETCH_BITS)] += rows
     parts = max(1, -(-events // PART_EVENTS))
-    deals = max(1, -(-int(sketch[-1]) // DEAL_ROWS))
-    hot = _hot_words(docs, sketch[:-1], int(sketch[-1]), parts)
-    as_word = _hot_counts(docs, hot, parts, "hot word") if len(hot) else None
-    as_context = _hot_counts(docs, hot, parts, "hot context") if len(hot) else None
-
-    met = written(_word_stats(docs, parts, hot), "words")
-    rows = met.where("stats is not null").select("stats").collect()
-    total = np.sum([r.stats for r in rows], axis=0) if rows else np.zeros(11, np.int64)
-    if as_word is not None and len(as_word):
-        n = (as_word.n1 + as_word.n2 + as_word.n3).to_numpy()
-        total = total + np.array([as_word.n1.sum(), as_word.n2.sum(), as_word.s3.sum(), as_word.s4.sum(), *_count_stats(n), n.sum(), (as_word.c > 0).sum(), as_word.c.sum()])
-    d2, d1 = discounts(total[:4].tolist()), discounts(total[4:8].tolist())
-    continuations, vocabulary, tokens = (int(x) for x in total[8:])
-    # mass that the discounts of the lower order leave to words not seen
-    n_types = vocabulary
-    n1, n2 = int(total[4]), int(total[5])
-    left = (d1[0] * n1 + d1[1] * n2 + d1[2] * max(n_types - n1 - n2, 0)) / continuations if continuations else 1.0
-    hot_word = {} if as_word is None else {"w": as_word.word.to_numpy().astype(np.int64).view(np.uint64), "before": (as_word.n1 + as_word.n2 + as_word.n3).to_numpy(), "total": as_word.c.to_numpy()}
-    hot_context = {} if as_context is None else {"v": as_context.word.to_numpy().astype(np.int64).view(np.uint64), **{k: as_context[k].to_numpy().astype(np.float64) for k in ("c", "n1", "n2", "n3")}}
-    shared = spark.sparkContext.broadcast((hot_word, hot_context))
+    hot = np.flatnonzero(sketch > PART_EVENTS).astype(np.uint64) if parts > 1 else np.zeros(0, np.uint64)
+
+    counted = written(_counted(docs, parts, hot), "counts")
+    answered = written(_answered(counted, parts), "answers")
+    total = np.sum([r.stats for r in counted.where("stats is not null").select("stats").collect()] or [[0] * 8], axis=0)
+    word = np.sum([r.stats for r in answered.where("stats is not null").select("stats").collect()] or [[0] * 8], axis=0)
+    d3, d2, d1 = discounts(total[:4].tolist()), discounts(total[4:8].tolist()), discounts(word[:4].tolist())
+    continuations, vocabulary, tokens, followers = (int(x) for x in word[4:])
+    # mass that the discounts of the lowest order leave to words not seen
+    n1, n2 = int(word[0]), int(word[1])
+    left = (d1[0] * n1 + d1[1] * n2 + d1[2] * max(followers - n1 - n2, 0)) / continuations if continuations else 1.0
+    deals = max(1, -(-events // (PACK_EVENTS * DEAL_PACKS)))
+    shared = spark.sparkContext.broadcast(hot)
 
     def score_part(key: tuple, left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
-        hot_words, hot_contexts = shared.value
-        v, w, doc, keys, train, base = [], [], [], [], [], 0
-        for raw in left_rows["blob"].to_pylist():
-            wide = zlib.decompress(raw[4 + 4 * 8 :][: int(np.frombuffer(raw, "<u4", 1, 4)[0])])[0]
-            code = "<u4" if wide else "<u2"
-            _, v_at, v_n, w_at, w_code, own, flag, row = _unzip(raw, "u1", "<u8", "<u4", "<u8", code, "<u8", "u1", code)
-            v.append(np.repeat(v_at, v_n))
-            w.append(w_at[w_code])
-            doc.append(row.astype(np.int32) + base)
-            keys.append(own)
-            train.append(flag)
-            base += len(own)
-        if not v:
-            return pa.table({"deal": pa.array([], pa.int64()), "sums": pa.array([], pa.binary())})
-        v, w, doc, keys, train = (np.concatenate(x) for x in (v, w, doc, keys, train))
-        learnt = train[doc].astype(bool)
-        pair = pair_key(v, w)
+        blobs = [x for own in left_rows["events"].to_pylist() for x in own or []]
+        packed = [x for own in left_rows["rows"].to_pylist() for x in own or []]
+        e = Events(blobs, shared.value)
+        answers: list[list] = [[], [], []]
+        for kind, raw in zip(right_rows["kind"].to_pylist(), right_rows["answer"].to_pylist(), strict=True):
+            steps, *numbers = _unzip(raw, "u1", "<u8", "<u8", "<u8", "<u8")
+            answers[kind].append((_ascending(steps), np.stack(numbers, axis=1).astype(np.float64)))
+        asked = [(np.concatenate([k for k, _ in x]), np.concatenate([v for _, v in x])) if x else (np.zeros(0, np.uint64), np.zeros((0, 4))) for x in answers]
+
+        def contexts(own: tuple[np.ndarray, np.ndarray], kind: int) -> tuple[np.ndarray, np.ndarray]:
+            """The part's own contexts, those with a hot word by their totals."""
+            names, counts = own
+            cold = ~np.isin(names, asked[kind][0])
+            return np.concatenate([names[cold], asked[kind][0]]), np.concatenate([counts[cold], asked[kind][1]])
+
         with tempfile.TemporaryDirectory() as folder:
-            met_rows = [_unzip(raw, "<u8", "<u4", "<u8") for raw in right_rows["blob"].to_pylist()]
-            known_w = np.concatenate([hot_words.get("w", np.zeros(0, np.uint64)), *(m[0] for m in met_rows)])
-            before = np.concatenate([hot_words.get("before", np.zeros(0)), *(m[1] for m in met_rows)]).astype(np.float64)
-            count = np.concatenate([hot_words.get("total", np.zeros(0)), *(m[2] for m in met_rows)]).astype(np.float64)
-            unigrams = HashArrays(os.path.join(folder, "1"), known_w, (_discounted(before, d1) / max(continuations, 1)) + left / (vocabulary + 1), count)
-            types, first, times = np.unique(pair[learnt], return_index=True, return_counts=True)
-            context = v[learnt][first]
-            bigrams = HashArrays(os.path.join(folder, "2"), types, times.astype(np.float64))
-            group, at = np.unique(context, return_inverse=True)
-            kinds = [np.bincount(at, x, len(group)) for x in (times, times == 1, times == 2, times > 2)]
-            if hot_contexts:
-                cold = ~np.isin(group, hot_contexts["v"])
-                group = np.concatenate([group[cold], hot_contexts["v"]])
-                kinds = [np.concatenate([x[cold], hot_contexts[k]]) for x, k in zip(kinds, ("c", "n1", "n2", "n3"), strict=True)]
-            rest = d2[0] * kinds[1] + d2[1] * kinds[2] + d2[2] * kinds[3]
-            contexts = HashArrays(os.path.join(folder, "3"), group, kinds[0], rest)
-            logp, logc, seen = np.zeros(base), np.zeros(base), np.zeros(base, np.int64)
+            file = lambda name: os.path.join(folder, name)
+            known_w, numbers = asked[WORD]
+            unigrams = HashArrays(file("words"), known_w, _discounted(numbers[:, 0], d1) / max(continuations, 1) + left / (vocabulary + 1), numbers[:, 1])
+            names, counts = contexts(e.one, ONE)
+            ones = HashArrays(file("one"), names, counts[:, 0], _rest(counts, d2))
+            names, counts = contexts(e.two, TWO)
+            twos = HashArrays(file("two"), names, counts[:, 0], _rest(counts, d3))
+            bigrams = HashArrays(file("pairs"), e.pairs, e.before.astype(np.float64))
+            trigrams = HashArrays(file("triples"), e.triples, e.times.astype(np.float64))
+            n = len(e.w)
+            logp, logc, seen = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
             step = 1 << 19
-            for a in range(0, len(v), step):
+            for a in range(0, n, step):
                 own = slice(a, a + step)
-                low, c_w = unigrams.get(w[own])
-                low = np.where(low > 0, low, left / (vocabulary + 1))
-                (c,) = bigrams.get(pair[own])
-                c_v, gamma = contexts.get(v[own])
-                p = np.where(c_v > 0, (_discounted(c, d2) + gamma * low) / np.maximum(c_v, 1), low)
-                logp += np.bincount(doc[own], np.log10(p), base)
-                logc += np.bincount(doc[own], np.log10(c_w + 1), base)
-                seen += np.bincount(doc[own], c_w > 0, base).astype(np.int64)
-            del unigrams, bigrams, contexts
-        return pa.table(_dealt(keys, logp, logc, seen, deals))
-
-    packed = _packed_events(docs, parts, hot).select(F.col("part").alias("own_part"), F.col("blob"))
-    met_words = met.where("stats is null").select("part", F.col("blob").alias("words")).withColumnRenamed("words", "blob")
-    found = packed.groupBy("own_part").cogroup(met_words.groupBy("part")).applyInArrow(score_part, "deal long, sums binary")
-    sums = found.groupBy("deal").applyInArrow(_summed, "key long, logp double, logc double, known long")
-
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, n, keys = batch.column(0).to_numpy(), [], []
-            for at, word, first in token_runs(batch):
-                n.append(np.diff(first) + 1)
-                keys.append(row_key(ids[at : at + len(first) - 1], first, word))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array((np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64), pa.int64())], names=["doc_id", "held_out", "n_tokens", "key"])
-
-    own = written(_prepared(docs).mapInArrow(rows_of, "doc_id long, held_out boolean, n_tokens long, key long"), "rows")
-    times = own.groupBy("key").agg(F.count("*").alias("times"))
+                p, c_w = unigrams.get(e.w[own])
+                for higher, context, ngrams, gram, d in ((ones, e.v, bigrams, e.pair, d2), (twos, e.context, trigrams, e.triple, d3)):
+                    (c,) = ngrams.get(gram[own])
+                    whole, rest = higher.get(context[own])
+                    p = np.where(whole > 0, (_discounted(c, d) + rest * p) / np.maximum(whole, 1), p)
+                logp[own], logc[own], seen[own] = np.log10(p), np.log10(c_w + 1), c_w > 0
+            del unigrams, ones, twos, bigrams, trigrams
+        return pa.table(_dealt(e, logp, logc, seen, packed, deals))
+
+    own = counted.where("asked is null").select(F.col("part").alias("own_part"), "events", "rows")
+    found = own.groupBy("own_part").cogroup(answered.where("answer is not null").select("part", "kind", "answer").groupBy("part")).applyInArrow(score_part, "deal long, pack long, sums binary, rows binary")
     spread = float(np.log10(tokens + vocabulary + 1))
-    joined = own.join(sums.join(times, "key"), "key")
-    return joined.select(
-        F.when(F.col("doc_id") != -(2**62), F.col("doc_id")).alias("doc_id"), "held_out", "n_tokens", F.expr("known div times").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("logc") / F.col("times") - F.col("n_tokens") * F.lit(spread)).alias("base_score"), (F.col("logp") / F.col("times")).alias("score"),
+    out = written(found.groupBy("deal").applyInArrow(_summed, _SCORES), "scores")
+    forget(counted, answered)
+    return out.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("logc") - F.col("n_tokens") * F.lit(spread)).alias("base_score"), F.col("logp").alias("score")
     )
 
 
-def _hot_words(docs: DataFrame, sketch: np.ndarray, rows: int, parts: int) -> np.ndarray:
-    """Words (start and end among them) with more than a part's share: as many as parts, about, at most."""
-    share = max(PART_EVENTS, 1)
-    hot = [np.array([START, END], np.uint64)] if rows > share else []
-    buckets = np.flatnonzero(sketch > share)
-    if len(buckets):
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for _, word, _ in token_runs(batch):
-                    own, n = np.unique(word[np.isin(word >> np.uint64(64 - SKETCH_BITS), buckets.astype(np.uint64))], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["word", "n"])
-
-        found = _prepared(docs).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > share).collect()
-        hot.append(np.array([r.word for r in found], np.int64).view(np.uint64))
-    return np.concatenate(hot) if hot else np.zeros(0, np.uint64)
-
-
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"))

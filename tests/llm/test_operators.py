@@ -222,42 +222,53 @@ def test_word_pieces(docs, rows):
     assert Counter((r.doc_id, r.n_words, r.n_tokens, r.n_unknown) for r in wordpiece.token_counts(docs, path).collect()) == want
 
 
-@pytest.mark.parametrize("part", [100, 10**6])
-def test_language_model(docs, rows, monkeypatch, part):
+@pytest.mark.parametrize("part, pack", [(100, 300), (3000, 10**6), (10**6, 10**6)])
+def test_language_model(docs, rows, monkeypatch, part, pack):
     monkeypatch.setattr(kneser, "PART_EVENTS", part)
-    texts = [(i, [*words(t), "</s>"], zlib.crc32(str(i).encode()) % 7 == 2) for i, t, *_ in rows]
-    one, two = Counter(), Counter()
+    monkeypatch.setattr(kneser, "PACK_EVENTS", pack)
+    texts = [(i, ["<s>", "<s>", *words(t), "</s>"], zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2) for i, t, *_ in rows]
+    one, three = Counter(), Counter()
     for _, w, out in texts:
         if not out:
-            one.update(w)
-            two.update(zip(["<s>", *w[:-1]], w, strict=True))
+            one.update(w[2:])
+            three.update(zip(w, w[1:], w[2:], strict=False))
     total, kinds = sum(one.values()), len(one)
-    context, seen, before = Counter(), defaultdict(lambda: [0, 0, 0]), Counter()
-    for (v, w), n in two.items():
-        context[v] += n
-        seen[v][min(n, 3) - 1] += 1
-        before[w] += 1
-    d2 = kneser.discounts([sum(n == k for n in two.values()) for k in (1, 2, 3, 4)])
+    two, before = Counter((v, w) for _, v, w in three), Counter()
+    before.update(w for _, w in two)
+
+    def level(grams):
+        context, seen = Counter(), defaultdict(lambda: [0, 0, 0])
+        for g, n in grams.items():
+            context[g[:-1]] += n
+            seen[g[:-1]][min(n, 3) - 1] += 1
+        return grams, context, seen, kneser.discounts([sum(n == k for n in grams.values()) for k in (1, 2, 3, 4)])
+
     d1 = kneser.discounts([sum(n == k for n in before.values()) for k in (1, 2, 3, 4)])
     pairs = sum(before.values())
     left = sum(d1[min(n, 3) - 1] for n in before.values()) / pairs
-    low = lambda w: (before[w] - d1[min(before[w], 3) - 1] if before[w] else 0) / pairs + left / (kinds + 1)
-
-    def p(v, w):
-        if not context[v]:
-            return low(w)
-        n = two[v, w]
-        return ((n - d2[min(n, 3) - 1] if n else 0) + sum(map(math.prod, zip(d2, seen[v], strict=True))) * low(w)) / context[v]
+    levels = [level(two), level(three)]
+
+    def p(*g):
+        if len(g) == 1:
+            return (before[g[0]] - d1[min(before[g[0]], 3) - 1] if before[g[0]] else 0) / pairs + left / (kinds + 1)
+        grams, context, seen, d = levels[len(g) - 2]
+        low = p(*g[1:])
+        if not context[g[:-1]]:
+            return low
+        n = grams[g]
+        return ((n - d[min(n, 3) - 1] if n else 0) + sum(map(math.prod, zip(d, seen[g[:-1]], strict=True))) * low) / context[g[:-1]]
 
     out = defaultdict(list)
     for r in kneser.scores(docs).collect():
         out[r.doc_id].append(r)
     for i, w, held_out in texts:
         r = out[i].pop()
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held_out, len(w), sum(one[x] > 0 for x in w), total)
-        assert r.base_score == pytest.approx(sum(math.log10((one[x] + 1) / (total + kinds + 1)) for x in w))
-        assert r.score == pytest.approx(sum(math.log10(p(v, x)) for v, x in zip(["<s>", *w[:-1]], w, strict=True)))
-    assert sum(p("one", w) for w in one) + p("one", "unseen") == pytest.approx(1.0)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held_out, len(w) - 2, sum(one[x] > 0 for x in w[2:]), total)
+        assert r.base_score == pytest.approx(sum(math.log10((one[x] + 1) / (total + kinds + 1)) for x in w[2:]))
+        assert r.score == pytest.approx(sum(math.log10(p(*g)) for g in zip(w, w[1:], w[2:], strict=False)))
+    assert not any(out.values())
+    for context in (("<s>", "one"), ("<s>", "<s>"), ("unseen", "one")):
+        assert sum(p(*context, w) for w in one) + p(*context, "unseen") == pytest.approx(1.0)
 
 
 def test_language_model_of_nothing(docs):
