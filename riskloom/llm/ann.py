@@ -28,8 +28,9 @@ from riskloom.llm.vectors import best, by_dims, clean, matrix
 
 K = 10
 QUERY_EVERY = 100
-#: Rows the tree is fitted on at most, and the queries that calibrate it.
-SAMPLE_ROWS = 8192
+#: Rows the tree is fitted on: so many, or with large tables this factor times the square root of their rows, up to the most.
+SAMPLE_ROWS, SAMPLE_ROOT, SAMPLE_MOST = 8192, 24, 400_000
+#: Queries that calibrate it.
 CALIBRATION_QUERIES = 64
 TARGET_RECALL = 0.97
 BRANCHES = 8
@@ -119,12 +120,15 @@ def _distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Search:
     """An index over rows (vec_id, dims, vector) of one length of vector."""
 
-    def __init__(self, rows: DataFrame, dims: int, k: int = K, target: float = TARGET_RECALL, sample_rows: int = SAMPLE_ROWS):
+    def __init__(self, rows: DataFrame, dims: int, k: int = K, target: float = TARGET_RECALL, sample_rows: int | None = None):
         self.spark, self.k, self.dims = rows.sparkSession, k, dims
         rows = rows.where(F.col("dims") == dims)
-        # bounded samples, in order of a hash of the id
-        sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("vec_id", "vector").limit(sample_rows).toArrow()
-        self.tree = Tree(matrix(sample["vector"], dims)) if sample.num_rows else None
+        # leaves grow in number and in rows alike, with the root of the table
+        sample_rows = sample_rows or min(SAMPLE_MOST, max(SAMPLE_ROWS, int(SAMPLE_ROOT * rows.count() ** 0.5)))
+        # bounded samples, in order of a hash of the id; what calibrates the tree has not made it
+        sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("vec_id", "vector").limit(sample_rows + CALIBRATION_QUERIES).toArrow()
+        fitted = sample.slice(min(CALIBRATION_QUERIES, sample.num_rows // 2))
+        self.tree = Tree(matrix(fitted["vector"], dims)) if sample.num_rows else None
         self.index = written(self._assigned(rows), "leaves")
         counts = self.index.groupBy("leaf").count().collect()
         self.sizes = np.zeros(self.tree.leaves if self.tree else 0, np.int64)
@@ -159,7 +163,9 @@ class Search:
                 yield pa.RecordBatch.from_pydict({"query": pa.array(row, pa.int64()), "vec_id": pa.array(part_ids[order][at], pa.int64()), "score": pa.array(value), "leaf": pa.array(leaf[order][at], pa.int64())})
 
         near = self.index.select("vec_id", "dims", "vector", "leaf").mapInArrow(run, "query long, vec_id long, score double, leaf long")
-        top = near.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id", "leaf"))), 1, k).alias("top")).collect()
+        # two levels, so that no group grows with the table's batches alone
+        first = near.groupBy("query", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("deal")).agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id", "leaf"))), 1, k).alias("top"))
+        top = first.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top")).collect()
         needed = []
         for row in top:
             order = {leaf: i for i, leaf in enumerate(self.tree.visit(q[row.query]))}

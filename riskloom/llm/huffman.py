@@ -160,7 +160,10 @@ def _id_counts(tokens: DataFrame) -> DataFrame:
 
 
 def write(tokens: DataFrame, path: str, shards: int | None = None) -> None:
-    """Writes doc_id, n_tokens, ids in ascending doc_id order (nulls first, repeats of an id in order of their ids' bytes)."""
+    """Writes doc_id, n_tokens, ids in ascending doc_id order (nulls first, repeats of an id in order of their ids' hash and bytes).
+
+    Shards are ranges of both, so the rows of a repeated or null id spread too.
+    """
     spark = tokens.sparkSession
     # bounded by the vocabulary
     rows = _id_counts(tokens).collect()
@@ -195,7 +198,8 @@ def write(tokens: DataFrame, path: str, shards: int | None = None) -> None:
         if held:
             yield close(held)
 
-    ordered = tokens.select("doc_id", "n_tokens", "ids").repartitionByRange(shards or shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    spread = F.xxhash64("ids")
+    ordered = tokens.select("doc_id", "n_tokens", "ids").repartitionByRange(shards or shuffle_partitions(spark), F.col("doc_id"), spread).sortWithinPartitions(F.col("doc_id"), spread, F.col("ids"))
     blocks = ordered.mapInArrow(run, "shard int, block int, docs long, ids long, payload binary")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 

@@ -47,6 +47,14 @@ def forget(*frames: DataFrame) -> None:
         where.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, or one made from it, that none of the columns has (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

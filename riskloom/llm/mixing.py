@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.io import table, written
+from riskloom.llm.io import free_name, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by rank of the source in code point order (null last), repeating.
@@ -118,16 +118,24 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST)
     """The mixed documents: each row of docs (doc_id, text, source, ...) as often as the mix takes it, other columns kept.
 
     Copies are decided per (doc_id, source, size); rows that agree in all three
-    share the copies their group is given, in order of their text's hash.
+    share the copies their group is given, in order of their text's hash. Columns of
+    any names stay as they are. A null text has no words; an empty table gives no rows.
     """
     columns = docs.columns
-    sized = docs.withColumn("size", word_count(F.col("text"))) if "size" not in columns else docs.withColumn("size", word_count(F.col("text")))
-    key = ["doc_id", "source", "size"]
-    taken = copies(written(sized.select(*key), "sizes")).withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("copies"))).select(*key, "nth", "copies")
-    numbered = sized.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
-    same = [numbered[k].eqNullSafe(taken[k]) for k in [*key, "nth"]]
-    out = numbered.join(taken, on=[*same, taken["copies"] > 0], how="inner").select(*[numbered[c] for c in numbered.columns if c not in ("nth", "size") or c in columns], taken["copies"])
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    size, nth, times = free_name(columns, "mix_size"), free_name(columns, "mix_nth"), free_name(columns, "mix_copies")
+    sized = docs.withColumn(size, word_count(F.col("text")))
+    key = ["doc_id", "source", size]
+    sizes = written(sized.select("doc_id", "source", F.col(size).alias("size")), "sizes")
+    taken = copies(sizes, weights=weights, most=most).select(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size"), "copies")
+    own = Window.partitionBy("t_id", "t_source", "t_size").orderBy("copies")
+    taken = taken.select("t_id", "t_source", "t_size", F.row_number().over(own).alias("t_nth"), F.col("copies").alias(times)).where(F.col(times) > 0)
+    # the other side's names are set apart from all columns of docs
+    apart = {c: free_name(columns, c) for c in ("t_id", "t_source", "t_size", "t_nth")}
+    taken = taken.withColumnsRenamed(apart)
+    numbered = sized.withColumn(nth, F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
+    same = [F.col(a).eqNullSafe(F.col(apart[b])) for a, b in zip([*key, nth], ("t_id", "t_source", "t_size", "t_nth"), strict=True)]
+    out = numbered.join(taken, same, "inner")
+    return out.select(*columns, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(nth)).select(*columns)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -121,17 +121,20 @@ def powers(pieces: list[tuple[object, int, int]]) -> Iterator[list[tuple[object,
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = END_ID, ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = END_ID, ids: bool = False, loss: str | None = None) -> DataFrame:
     """One row for each piece of every text (null: empty), in sequences of the limits; with ids, the piece's ids as well.
 
     A text's ids end with end_id, so an empty text is one token. Texts longer than
     a sequence fill whole ones first. Rows that repeat are packed each for itself;
     an empty table gives no rows; columns besides doc_id and text don't matter.
+    loss names a boolean column: whether a row's tokens bear loss (null: they don't);
+    without it all do. Where fewer may bear loss than a sequence holds, a row that
+    does is cut into pieces within that limit.
     """
     size = limits.tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer = encoder(path), Packer(limits, cut=limits.loss >= limits.tokens)
+        enc, packer = encoder(path), Packer(limits, cut=loss is None and limits.loss >= limits.tokens)
         sequence, rows = TaskContext.get().partitionId() << 40, []
 
         def put(pieces: list[tuple[tuple, int, int]]) -> None:
@@ -151,25 +154,33 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
             return out
 
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
+            doc_ids, bears = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for at, all_ids, bounds in enc.texts(batch.column(1), end_id):
                 edges = bounds.tolist()
                 for i in range(len(edges) - 1):
                     own = all_ids[edges[i] : edges[i + 1]]
                     n = len(own)
+                    if bears[at + i] and limits.loss < size:
+                        key = (doc_ids[at + i], own.copy(), n)
+                        for start in range(0, n, limits.loss):
+                            k = min(limits.loss, n - start)
+                            packer.add(key, start, k, k)
+                        for pieces in packer.closed():
+                            put(pieces)
+                        continue
                     key = (doc_ids[at + i], own if n >= size else own.copy(), n)
                     full = n - n % size
                     for start in range(0, full, size):
                         put([(key, start, size)])
                     if n > full:
-                        packer.add((key[0], own.copy() if not full else own, n), full, n - full, n - full)
+                        packer.add((key[0], own.copy() if not full else own, n), full, n - full, n - full if bears[at + i] else 0)
                     for pieces in packer.closed():
                         put(pieces)
                 if rows:
                     yield table_of()
         for pieces in packer.closed(flush=True):
             length = sum(p[2] for p in pieces)
-            if packer.n or length == size:
+            if packer.n or length == size or not packer.cut:
                 put(pieces)
             else:
                 for part in powers(pieces):
@@ -177,7 +188,8 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
         if rows:
             yield table_of()
 
-    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA + ", ids binary" * ids)
+    bearing = F.lit(True) if loss is None else F.coalesce(F.col(loss), F.lit(False))
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), bearing.alias("bears")).mapInArrow(run, SCHEMA + ", ids binary" * ids)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
