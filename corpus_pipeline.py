@@ -3,7 +3,9 @@
 toxicity, quality, near duplicates, mixing to source weights, packing. Every stage
 works on all that the one before kept; all but the last return the columns of
 documents. ORACLE_SQL is None: three stages learn or link what SQL cannot say, so
-tests compare the stages with brute force instead.
+tests compare the stages with brute force instead. Null texts are empty texts, null
+ids are ids of their own, an empty table stays one, and columns of any further names
+go along untouched.
 """
 
 from __future__ import annotations
@@ -14,21 +16,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import jaccard, mixing, packing, quality, toxicity
-from riskloom.llm.io import table, written
+from riskloom.llm.io import forget, free_name, table, written
 from riskloom.llm.linear import THRESHOLD
 from riskloom.llm.tokens import vocabulary_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose restored text is not toxic; learnt from the labelled documents among docs."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "pipeline_score").where(F.col("pipeline_score") < THRESHOLD).select(*docs.columns)
+    """Documents whose restored text is not toxic; learnt from the labelled documents among docs. Without labels all stay."""
+    model, name = toxicity.train(docs, table(spark, sf_dir, "labels")), free_name(docs.columns, "pipeline_score")
+    return toxicity.score(docs, model, name).where(F.col(name) < THRESHOLD).select(*docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that op4_quality would predict as good; learnt from the labelled documents among docs."""
-    weights = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, weights, "pipeline_score").where(F.col("pipeline_score") >= THRESHOLD).select(*docs.columns)
+    """Documents that op4_quality would predict as good; learnt from the labelled documents among docs. Without labels none is rejected."""
+    labels, name = table(spark, sf_dir, "labels"), free_name(docs.columns, "pipeline_score")
+    if labels.where("quality is not null").limit(1).count() == 0:
+        return docs
+    weights = quality.train(docs, labels)
+    return quality.score(docs, weights, name).where(F.col(name) >= THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,16 +41,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Where an id stands on several rows, a row goes only if its own set is in the component of a smaller id.
     """
+    columns, sig = docs.columns, free_name(docs.columns, "sig")
     groups = jaccard.components_of_sets(docs.select("doc_id", "text"))
-    gone = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id", "sig").distinct()
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id"), F.col("sig").alias(sig)).distinct()
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if not repeated.limit(1).count():
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        return docs.join(gone, "doc_id", "left_anti").select(*columns)
     gone = written(gone, "gone")
     # rows that repeat an id are compared by set and text, the others by id
-    once = docs.join(repeated, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*docs.columns)
-    several = jaccard.signed(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns)).join(gone, ["doc_id", "sig"], "left_anti")
-    return once.unionByName(several.select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    once = docs.join(repeated, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*columns)
+    several = jaccard.signed(docs.join(repeated, "doc_id", "left_semi").select(*columns), sig).join(gone, ["doc_id", sig], "left_anti")
+    return once.unionByName(several.select(*columns).dropDuplicates(["doc_id", "text"]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,6 +79,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each a table that the next one reads."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
