@@ -33,7 +33,14 @@ def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """The frame as a table in the shared folder: lineage ends there, and lost executors don't matter."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.option("compression", compression).parquet(path)
+    # the table replaces what was shuffled for it, so those files go when it is done
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
