@@ -1,19 +1,20 @@
 """Interpolated modified Kneser-Ney trigram model, counted in Spark, kept as sorted hash arrays.
 
 Words are 64-bit hashes. Each word of a text is an event (word two before, word
-before, word); texts are split twice, once for a sketch of word counts, once for the
-events:
+before, word); texts are split three times, for a sketch of word counts, for counting, for
+scoring:
 
 * Events go, packed, to the part of the model that the word before belongs to. All
   trigrams, bigrams and contexts with that word in their middle or front meet there,
   so trigram counts and the numbers of different words before a bigram are counted
-  in one place, and kept with the part's events as a table.
+  in one place.
 * What a part lacks are totals over all parts: of words, and of contexts with a hot
   word. It asks for them with its own share of each; shares are added up by key and
-  the totals sent back to the parts that asked.
-* Each part writes its n-grams, contexts and words as sorted hash arrays to a file,
-  maps the file into memory and looks its events up; sums by document come back to
-  where the document's events were packed.
+  the totals sent back to the parts that asked, in the order of their questions.
+* Events are sent once more, which takes less disk than keeping them. Each part
+  writes its n-grams, contexts and words as sorted hash arrays to a file, maps the
+  file into memory and looks its events up; sums by document come back to where the
+  document's events were packed.
 
 A word whose bucket of the sketch holds more than a part's share of all tokens is
 hot: its events are dealt by it and the word after, so no part grows with it.
@@ -40,7 +41,7 @@ from riskloom.llm.textkernel import Words, mix, slices
 ORDER = 3
 FOLDS, HELD_OUT = 7, 2
 #: Events of a part of the model, on average, and events a task packs at once.
-PART_EVENTS = 2_000_000
+PART_EVENTS = 1_500_000
 PACK_EVENTS = 2_000_000
 #: Parts whose questions are answered in one group, on average.
 DEAL_PARTS = 16
@@ -96,6 +97,15 @@ def _ascending(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(steps.reshape(8, -1).T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
+def _planes(numbers: np.ndarray) -> np.ndarray:
+    """Numbers below 2³², their bytes by place: upper ones are zero or alike."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+
+
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Ranges of the upper half of the hash."""
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -130,27 +140,28 @@ class Pack:
         ends = np.cumsum(count)
         # a row's events: its words, each after the two before, and the end
         self.words = distinct[order]
+        code = code.astype(np.int32)
         self.w = np.insert(code, ends, end)
         self.v = np.insert(code, ends - count, start)
         first = np.cumsum(count + 1) - (count + 1)
         self.u = np.empty_like(self.v)
         self.u[1:] = self.v[:-1]
         self.u[first] = start
-        self.row = np.repeat(np.arange(len(count)), count + 1)
+        self.row = np.repeat(np.arange(len(count), dtype=np.int32), count + 1)
         self.doc_id, self.held_out, self.nameless, self.n_tokens = doc_id, held_out, nameless, count + 1
         self.key = int(mix(np.concatenate([doc_id.view(np.uint64) + np.uint64(3), distinct, count.astype(np.uint64)])).sum(dtype=np.uint64).view(np.int64))
 
-    def sent(self, part: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """(part, packed events) by part."""
-        order = np.argsort(((part * len(self.words) + self.v) * len(self.words)) + self.w, kind="stable")
+    def sent(self, part: np.ndarray, rows: bool) -> Iterator[tuple[int, bytes]]:
+        """(part, packed events) by part; with their rows, or only whether they are held out."""
+        order = np.argsort((part * len(self.words) + self.v) * len(self.words) + self.w, kind="stable")
         used, begin = np.unique(part[order], return_index=True)
         for p, a, b in zip(used.tolist(), begin, [*begin[1:], len(order)], strict=True):
             own = order[a:b]
             v, n = np.unique(self.v[own], return_counts=True)
             words, code = np.unique(np.concatenate([v, self.w[own], self.u[own]]), return_inverse=True)
-            mark = 2 * self.row[own] + self.held_out[self.row[own]]
-            kind = "<u2" if max(len(words), int(mark.max()) + 1) <= 1 << 16 else "<u4"
-            yield p, _zip(np.array([kind == "<u4"], "u1"), np.array([self.key], "<i8"), _steps(self.words[words]), n.astype("<u4"), code[: len(v)].astype(kind), code[len(v) : len(v) + len(own)].astype(kind), code[len(v) + len(own) :].astype(kind), mark.astype(kind))
+            held_out = self.held_out[self.row[own]]
+            mark = _planes(2 * self.row[own] + held_out) if rows else np.packbits(held_out)
+            yield p, _zip(np.array([rows], "u1"), np.array([self.key], "<i8"), _steps(self.words[words]), n.astype("<u4"), _planes(code[: len(v)]), _planes(code[len(v) : len(v) + len(own)]), _planes(code[len(v) + len(own) :]), mark)
 
     def rows(self) -> bytes:
         return _zip(np.array([self.key], "<i8"), self.doc_id.astype("<i8"), self.held_out.astype("u1"), self.nameless.astype("u1"), self.n_tokens.astype("<i8"))
@@ -174,8 +185,8 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[Pack]:
         yield Pack(*(np.concatenate(x) for x in held))
 
 
-def _sent(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
-    """part, events, rows: packed events by part; the rows of a pack go along to one part."""
+def _sent(docs: DataFrame, parts: int, hot: np.ndarray, rows: bool) -> DataFrame:
+    """part, events, rows: packed events by part; with rows, a pack's rows go along to one part."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +194,10 @@ def _sent(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
             part = part_of(pack.words, parts)[pack.v]
             is_hot = _is_hot(pack.words, shared.value)[pack.v]
             part[is_hot] = (pair_key(pack.words[pack.v[is_hot]], pack.words[pack.w[is_hot]]) % np.uint64(parts)).astype(np.int64)
-            for p, blob in pack.sent(part):
+            for p, blob in pack.sent(part, rows):
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([blob], pa.binary()), pa.nulls(1, pa.binary())], names=["part", "events", "rows"])
-            yield pa.RecordBatch.from_arrays([pa.array([pack.key % parts], pa.int64()), pa.nulls(1, pa.binary()), pa.array([pack.rows()], pa.binary())], names=["part", "events", "rows"])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([pack.key % parts], pa.int64()), pa.nulls(1, pa.binary()), pa.array([pack.rows()], pa.binary())], names=["part", "events", "rows"])
 
     return _prepared(docs).mapInArrow(run, "part long, events binary, rows binary")
 
@@ -200,22 +212,24 @@ class Events:
     def __init__(self, blobs: list[bytes], hot: np.ndarray):
         u, v, w, mark, pack = [], [], [], [], []
         for raw in blobs:
-            wide = zlib.decompress(raw[4 + 4 * 8 :][: int(np.frombuffer(raw, "<u4", 1, 4)[0])])[0]
-            kind = "<u4" if wide else "<u2"
-            _, key, steps, n, v_at, w_at, u_at, row = _unzip(raw, "u1", "<i8", "u1", "<u4", kind, kind, kind, kind)
+            rows, key, steps, n, v_at, w_at, u_at, own = _unzip(raw, "u1", "<i8", "u1", "<u4", "u1", "u1", "u1", "u1")
             words = _ascending(steps)
-            v.append(np.repeat(words[v_at], n))
-            w.append(words[w_at])
-            u.append(words[u_at])
-            mark.append(row.astype(np.int64))
-            pack.append((int(key[0]), len(row)))
+            v.append(np.repeat(words[_numbers(v_at)], n))
+            w.append(words[_numbers(w_at)])
+            u.append(words[_numbers(u_at)])
+            mark.append(_numbers(own) if rows[0] else np.unpackbits(own, count=len(w[-1])).astype(np.uint32))
+            pack.append((int(key[0]), len(w[-1])))
+        blobs.clear()
         empty = np.zeros(0, np.uint64)
-        self.u, self.v, self.w = (np.concatenate(x) if x else empty for x in (u, v, w))
-        mark = np.concatenate(mark) if mark else np.zeros(0, np.int64)
-        self.row, self.packs = mark >> 1, pack
+        self.v, self.w = (np.concatenate(x) if x else empty for x in (v, w))
+        del v, w
+        mark = np.concatenate(mark) if mark else np.zeros(0, np.uint32)
+        self.row, self.packs = (mark >> 1).astype(np.int64), pack
         learnt = mark & 1 == 0
-        self.pair, self.context = pair_key(self.v, self.w), pair_key(self.u, self.v)
-        self.triple = pair_key(self.u, self.pair)
+        self.pair = pair_key(self.v, self.w)
+        u = np.concatenate(u) if u else empty
+        self.context, self.triple = pair_key(u, self.v), pair_key(u, self.pair)
+        del u
         self.words, self.word_count = np.unique(self.w, return_inverse=True)
         self.word_count = np.bincount(self.word_count, learnt, len(self.words))
         self.triples, first, self.times = np.unique(self.triple[learnt], return_index=True, return_counts=True)
@@ -275,18 +289,17 @@ def _rest(counts: np.ndarray, d: list[float]) -> np.ndarray:
     return counts[:, 1] * d[0] + counts[:, 2] * d[1] + counts[:, 3] * d[2]
 
 
-_PART = "part long, events array<binary>, rows array<binary>, deal long, asked binary, stats array<long>"
+_PART = "part long, deal long, asked binary, stats array<long>"
 
 
 def _counted(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
-    """Each part's events and rows (part, events, rows), what it asks for by deal (part, deal, asked), and counts of counts (stats)."""
+    """What each part asks for by deal (part, deal, asked), and its counts of counts (stats)."""
     deals = max(1, -(-parts // DEAL_PARTS))
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(rows: pa.Table) -> pa.Table:
         part = rows["part"][0].as_py()
-        blobs, packed = [x for x in rows["events"].to_pylist() if x is not None], [x for x in rows["rows"].to_pylist() if x is not None]
-        events = Events(blobs, shared.value)
+        events = Events(rows["events"].to_pylist(), shared.value)
         stats = [*_count_stats(events.times), *_count_stats(events.before)]
         asked = []
         for kind, (keys, values) in enumerate(events.asked()):
@@ -297,16 +310,16 @@ def _counted(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
         n = len(asked)
         return pa.table(
             {
-                "part": pa.array([part] * (n + 1), pa.int64()), "events": pa.array([blobs, *[None] * n], pa.list_(pa.binary())), "rows": pa.array([packed, *[None] * n], pa.list_(pa.binary())),
+                "part": pa.array([part] * (n + 1), pa.int64()),
                 "deal": pa.array([None, *(d for d, _ in asked)], pa.int64()), "asked": pa.array([None, *(x for _, x in asked)], pa.binary()), "stats": pa.array([stats, *[None] * n], pa.list_(pa.int64())),
             }
         )
 
-    return _sent(docs, parts, hot).groupBy("part").applyInArrow(run, _PART)
+    return _sent(docs, parts, hot, rows=False).groupBy("part").applyInArrow(run, _PART)
 
 
 def _answered(counted: DataFrame, parts: int) -> DataFrame:
-    """part, kind, answer: totals of what each part asked for; and counts over all words (stats)."""
+    """part, deal, answer: totals of what each part asked for, in order; and counts over all words (stats)."""
     deals = max(1, -(-parts // DEAL_PARTS))
 
     def run(rows: pa.Table) -> pa.Table:
@@ -315,12 +328,12 @@ def _answered(counted: DataFrame, parts: int) -> DataFrame:
         own = [_ascending(x[0]) for x in sent]
         keys, at = np.unique(np.concatenate(own), return_inverse=True)
         total = [np.bincount(at, np.concatenate([x[1 + k] for x in sent]), len(keys)).astype("<u8") for k in range(4)]
-        answers = [_zip(_steps(k), *(x[np.searchsorted(keys, k)] for x in total)) for k in own]
+        answers = [_zip(*(x[np.searchsorted(keys, k)] for x in total)) for k in own]
         stats = [*_count_stats(total[0]), int(total[0].sum()), int((total[1] > 0).sum()), int(total[1].sum()), int((total[0] > 0).sum())] if kind == WORD else None
         n = len(to)
-        return pa.table({"part": pa.array([*to, None], pa.int64()), "kind": pa.array([kind] * (n + 1), pa.int32()), "answer": pa.array([*answers, None], pa.binary()), "stats": pa.array([*[None] * n, stats], pa.list_(pa.int64()))})
+        return pa.table({"part": pa.array([*to, None], pa.int64()), "deal": pa.array([rows["deal"][0].as_py()] * (n + 1), pa.int64()), "answer": pa.array([*answers, None], pa.binary()), "stats": pa.array([*[None] * n, stats], pa.list_(pa.int64()))})
 
-    return counted.where("asked is not null").select("part", "deal", "asked").groupBy("deal").applyInArrow(run, "part long, kind int, answer binary, stats array<long>")
+    return counted.where("asked is not null").select("part", "deal", "asked").groupBy("deal").applyInArrow(run, "part long, deal long, answer binary, stats array<long>")
 
 
 def _dealt(events: Events, logp: np.ndarray, logc: np.ndarray, known: np.ndarray, rows: list[bytes], deals: int) -> dict[str, pa.Array]:
@@ -329,7 +342,8 @@ def _dealt(events: Events, logp: np.ndarray, logc: np.ndarray, known: np.ndarray
     for key, n in events.packs:
         own, at = np.unique(events.row[begin : begin + n], return_inverse=True)
         values = [np.bincount(at, x[begin : begin + n], len(own)) for x in (logp, logc, known)]
-        sums.append(_zip(own.astype("<u4"), values[0].astype("<f8"), values[1].astype("<f8"), values[2].astype("<u4")))
+        # a part's sums are of some words each: single precision keeps nine digits of the document's
+        sums.append(_zip(_planes(own), values[0].astype("<f4"), values[1].astype("<f4"), _planes(values[2])))
         pack.append(key)
         begin += n
     for raw in rows:
@@ -352,9 +366,9 @@ def _summed(rows: pa.Table) -> pa.Table:
         _, doc_id, held_out, nameless, n_tokens = _unzip(own[0], "<i8", "<i8", "u1", "u1", "<i8")
         total = np.zeros((3, len(doc_id)))
         for raw in sent:
-            at, *values = _unzip(raw, "<u4", "<f8", "<f8", "<u4")
-            for k in range(3):
-                total[k, at] += values[k]
+            at, *values, known = _unzip(raw, "u1", "<f4", "<f4", "u1")
+            for k, x in enumerate((*values, _numbers(known))):
+                total[k, _numbers(at)] += x
         total /= len(own)
         for _ in own:
             for have, more in zip(out, (doc_id, nameless, held_out, n_tokens, total[2], total[1], total[0]), strict=True):
@@ -405,18 +419,18 @@ def scores(docs: DataFrame) -> DataFrame:
     # mass that the discounts of the lowest order leave to words not seen
     n1, n2 = int(word[0]), int(word[1])
     left = (d1[0] * n1 + d1[1] * n2 + d1[2] * max(followers - n1 - n2, 0)) / continuations if continuations else 1.0
-    deals = max(1, -(-events // (PACK_EVENTS * DEAL_PACKS)))
+    deals, questions = max(1, -(-events // (PACK_EVENTS * DEAL_PACKS))), max(1, -(-parts // DEAL_PARTS))
     shared = spark.sparkContext.broadcast(hot)
 
     def score_part(key: tuple, left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
-        blobs = [x for own in left_rows["events"].to_pylist() for x in own or []]
-        packed = [x for own in left_rows["rows"].to_pylist() for x in own or []]
-        e = Events(blobs, shared.value)
-        answers: list[list] = [[], [], []]
-        for kind, raw in zip(right_rows["kind"].to_pylist(), right_rows["answer"].to_pylist(), strict=True):
-            steps, *numbers = _unzip(raw, "u1", "<u8", "<u8", "<u8", "<u8")
-            answers[kind].append((_ascending(steps), np.stack(numbers, axis=1).astype(np.float64)))
-        asked = [(np.concatenate([k for k, _ in x]), np.concatenate([v for _, v in x])) if x else (np.zeros(0, np.uint64), np.zeros((0, 4))) for x in answers]
+        packed = [x for x in left_rows["rows"].to_pylist() if x is not None]
+        e = Events([x for x in left_rows["events"].to_pylist() if x is not None], shared.value)
+        # answers by kind and range of keys, in the order of the keys the part has itself
+        answers = sorted(zip(right_rows["deal"].to_pylist(), right_rows["answer"].to_pylist(), strict=True))
+        asked = []
+        for kind, (keys, _) in enumerate(e.asked()):
+            numbers = [np.stack(_unzip(raw, "<u8", "<u8", "<u8", "<u8"), axis=1) for deal, raw in answers if deal // questions == kind]
+            asked.append((keys, np.concatenate(numbers).astype(np.float64) if numbers else np.zeros((0, 4))))
 
         def contexts(own: tuple[np.ndarray, np.ndarray], kind: int) -> tuple[np.ndarray, np.ndarray]:
             """The part's own contexts, those with a hot word by their totals."""
@@ -448,8 +462,8 @@ def scores(docs: DataFrame) -> DataFrame:
             del unigrams, ones, twos, bigrams, trigrams
         return pa.table(_dealt(e, logp, logc, seen, packed, deals))
 
-    own = counted.where("asked is null").select(F.col("part").alias("own_part"), "events", "rows")
-    found = own.groupBy("own_part").cogroup(answered.where("answer is not null").select("part", "kind", "answer").groupBy("part")).applyInArrow(score_part, "deal long, pack long, sums binary, rows binary")
+    own = _sent(docs, parts, hot, rows=True).withColumnRenamed("part", "own_part")
+    found = own.groupBy("own_part").cogroup(answered.where("answer is not null").select("part", "deal", "answer").groupBy("part")).applyInArrow(score_part, "deal long, pack long, sums binary, rows binary")
     spread = float(np.log10(tokens + vocabulary + 1))
     out = written(found.groupBy("deal").applyInArrow(_summed, _SCORES), "scores")
     forget(counted, answered)
