@@ -85,11 +85,21 @@ def features(texts: pa.Array) -> Iterator[Features]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Weights learnt from a bounded sample of labelled rows outside the held-out fold.
+
+    An id with several labels counts as good if one says so, one with several rows is
+    learnt from each; null ids and null labels teach nothing. Without labels all
+    weights are 0 and every text scores 0.5.
+    """
     return fit(labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT), features, 1 << BITS, alpha=0.5, beta=1.0, l1=0.02, l2=0.0, epochs=2)
 
 
 def score(docs: DataFrame, weights: np.ndarray, column: str = "quality_score") -> DataFrame:
-    """docs (any columns, text among them) with the chance that label 1 holds; a null text scores as an empty one."""
+    """docs (any columns, text among them) with the chance that label 1 holds in a column of this name, which docs must lack.
+
+    A null text scores as an empty one; a long text is read whole; rows that repeat
+    score alike; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     at = docs.columns.index("text")
 
@@ -106,6 +116,7 @@ def score(docs: DataFrame, weights: np.ndarray, column: str = "quality_score") -
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, null ids, null texts and repeats included; see train and score."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = train(docs, table(spark, sf_dir, "labels"))
     out = score(docs, weights, "score")
