@@ -13,6 +13,9 @@ REVIEWED_LICENCES = (
     "LGPL-2.1", "LGPL-3.0", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "BSL-1.1", "SSPL-1.0",
     "PolyForm-Noncommercial-1.0.0", "PolyForm-Internal-Use-1.0.0", "PolyForm-Small-Business-1.0.0", "Elastic-2.0",
 )
+# fixed values: how names of whole families begin
+ALLOWED_FAMILIES = ("apache", "bsd", "isc")
+REVIEWED_FAMILIES = ("gpl", "agpl", "sspl", "bsl", "polyform")
 LICENCE_RANK = {"allowed": 0, "unknown": 1, "review_required": 2}
 
 
@@ -34,7 +37,7 @@ def parse_purl(text: Column) -> Column:
     """struct(ecosystem, name, version); the version stands behind the last @; null if not a purl."""
     core = F.regexp_replace(text, r"[?#].*$", "")
     rest = F.regexp_extract(core, r"^pkg:[A-Za-z0-9.+-]+/(.+)$", 1)
-    has = F.instr(F.substring(rest, 2, 100000), "@") > 0
+    has = F.locate("@", rest, 2) > 0
     version = F.when(has, F.substring_index(rest, "@", -1))
     name = F.when(has, F.substring(rest, F.lit(1), F.length(rest) - F.length(F.substring_index(rest, "@", -1)) - 1)).otherwise(rest)
     return F.when(core.rlike("^pkg:[A-Za-z0-9.+-]+/.+"), F.struct(F.lower(F.regexp_extract(core, "^pkg:([A-Za-z0-9.+-]+)/", 1)).alias("ecosystem"), F.regexp_replace(name, "^%40", "@").alias("name"), version.alias("version")))
@@ -46,19 +49,29 @@ def remote_unauthenticated(vector: Column) -> Column:
     return F.when((part("AV") != "") & (part("PR") != ""), (part("AV") == "N") & (part("PR") == "N"))
 
 
+def _begins(name: Column, heads: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [name.startswith(h.lower()) for h in heads])
+
+
 def _one_licence(name: Column) -> Column:
-    """By name, an -only, -or-later or + form like its base."""
-    base = F.regexp_replace(F.regexp_replace(F.trim(name), r"(?i)(-only|-or-later|\+)$", ""), r" WITH .*$", "")
-    same = lambda names: F.lower(base).isin([n.lower() for n in names])
-    return F.when(same(ALLOWED_LICENCES), F.lit(0)).when(same(REVIEWED_LICENCES), F.lit(2)).otherwise(F.lit(1))
+    """By what the lower-cased name begins with: listed licences first (those to be reviewed before the others), then whole families."""
+    low = F.lower(F.trim(name))
+    return (
+        F.when(_begins(low, REVIEWED_LICENCES), F.lit(2))
+        .when(_begins(low, ALLOWED_LICENCES) | F.array_contains(F.split(low, r"\s+"), "mit") | _begins(low, ALLOWED_FAMILIES), F.lit(0))
+        .when(_begins(low, REVIEWED_FAMILIES), F.lit(2))
+        .otherwise(F.lit(1))
+    )
 
 
 def licence_verdict(text: Column) -> Column:
-    """allowed, unknown or review_required: OR takes the most lenient, AND the strictest; only capital operators count."""
-    flat = F.regexp_replace(text, r"[()]", " ")
-    ranks = F.transform(F.split(flat, r"\s+OR\s+"), lambda part: F.array_max(F.transform(F.split(part, r"\s+AND\s+"), _one_licence)))
-    best = F.array_min(ranks)
-    return F.when(text.isNull() | (F.trim(text) == ""), F.lit("unknown")).otherwise(reduce(lambda acc, kv: F.when(best == kv[1], F.lit(kv[0])).otherwise(acc), LICENCE_RANK.items(), F.lit("unknown")))
+    """allowed, unknown or review_required: OR takes the most lenient, AND the strictest, an exception behind WITH its base; only capital operators count, in texts of up to 200 characters."""
+    plain = F.trim(text)
+    compound = (F.length(plain) <= 200) & plain.rlike(r"\b(AND|OR|WITH)\b")
+    ranks = lambda side: F.transform(F.filter(F.transform(F.split(side, r"\bAND\b"), lambda x: F.trim(F.regexp_replace(x, r"\bWITH\b.*$", ""))), lambda x: x != ""), _one_licence)
+    sides = F.filter(F.transform(F.split(F.translate(plain, "()", "  "), r"\bOR\b"), lambda x: F.array_max(ranks(x))), lambda r: r.isNotNull())
+    best = F.when(compound, F.coalesce(F.array_min(sides), F.lit(LICENCE_RANK["unknown"]))).otherwise(_one_licence(plain))
+    return F.when(text.isNull() | (plain == ""), F.lit("unknown")).otherwise(reduce(lambda acc, kv: F.when(best == kv[1], F.lit(kv[0])).otherwise(acc), LICENCE_RANK.items(), F.lit("unknown")))
 
 
 def name_signals(name: Column) -> Column:

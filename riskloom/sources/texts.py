@@ -28,8 +28,15 @@ def language_of(path: Column, given: Column | None = None) -> Column:
     return guessed if given is None else F.coalesce(given, guessed)
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """The frame as its files split, or dealt anew where they give fewer tasks than there are cores: large inputs are never moved."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files if files.rdd.getNumPartitions() >= cores else files.repartition(cores)
+
+
 def looks_binary(content: Column) -> Column:
-    return F.instr(F.hex(F.substring(content, 1, 4096)), "00") % 2 == 1
+    """A zero byte among the first 4,096."""
+    return F.locate("\0", F.decode(F.substring(content, 1, 4096), "ISO-8859-1")) > 0
 
 
 def looks_minified(text: Column) -> Column:

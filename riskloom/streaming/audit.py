@@ -41,8 +41,9 @@ def keep_current(stream: DataFrame, folder: str, checkpoint: str, key: str, newe
         fs_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
         last = f"{folder}/v={number - 1}"
-        have = number > 0 and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{last}/_SUCCESS"))
-        before = spark.read.schema(batch.schema).parquet(last) if have else batch.limit(0)
+        if number > 0 and not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{last}/_SUCCESS")):
+            raise RuntimeError(f"{last} is not complete; merging without it would lose the table")
+        before = spark.read.schema(batch.schema).parquet(last) if number > 0 else batch.limit(0)
         upsert(before, batch, key, newest, cap).write.mode("overwrite").parquet(f"{folder}/v={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
