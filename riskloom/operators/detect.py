@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,18 +14,30 @@ from riskloom.rules.cards import EXPOSURE, Rule, enforced
 ADJUSTMENT = "struct<step:string,from_severity:string,to_severity:string,from_decision:string,to_decision:string,reason:string>"
 
 
+def hinted(line: Column, rule: Rule) -> Column | None:
+    """Whether a line holds one of the rule's hints; None for a rule without."""
+    low = F.lower(line)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(h)) for h in rule.hints]) if rule.hints else None
+
+
+def valid(line: Column, rule: Rule, value: Column) -> Column:
+    """Whether what a pattern found passes all validators, on a line that is not excluded."""
+    ok = value != ""
+    for name in rule.validators:
+        ok = ok & VALIDATORS[name](value)
+    for pattern in rule.excludes:
+        ok = ok & ~line.rlike(pattern)
+    return ok
+
+
 def first_match(line: Column, rule: Rule) -> Column:
     """The value of the first pattern whose first match passes all validators; null if none, or if the line is excluded."""
-    found = F.lit(None).cast("string")
-    for pattern in reversed(rule.patterns):
-        value = F.regexp_extract(line, pattern, rule.take)
-        ok = line.rlike(pattern)
-        for name in rule.validators:
-            ok = ok & VALIDATORS[name](value)
-        found = F.when(ok, value).otherwise(found)
-    for pattern in rule.excludes:
-        found = F.when(line.rlike(pattern), F.lit(None)).otherwise(found)
-    return found
+    value = F.lit(None).cast("string")
+    for p in reversed(rule.patterns):
+        found = F.regexp_extract(line, p, rule.take)
+        value = F.when(valid(line, rule, found), found).otherwise(value)
+    hint = hinted(line, rule)
+    return value if hint is None else F.when(hint, value)
 
 
 def applies(rule: Rule, language: Column) -> Column:
@@ -44,20 +58,30 @@ def ignored_ids(line: Column) -> Column:
 
 
 def matches(lines: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
-    """One row for each line and rule that fires, with the matched value. lines: path, language, line_no, line, ..."""
+    """One row for each line and rule that fires, with the matched value. lines: path, language, line_no, line, ...
+
+    A rule's pattern runs once a line, behind its hints, inside one generator; only what
+    it found is validated and gets the rule's columns.
+    """
     rules = enforced() if rules is None else rules
-    language = F.col("language")
-    hits = []
+    line, language, found = F.col("line"), F.col("language"), []
+    for rule in rules:
+        # of several patterns the first that passes counts, so those are validated at once
+        value = F.regexp_extract(line, rule.patterns[0], rule.take) if len(rule.patterns) == 1 else F.coalesce(first_match(line, rule), F.lit(""))
+        hint = hinted(line, rule)
+        found.append(value if hint is None else F.when(hint, value).otherwise(""))
+    rows = lines.select("*", F.posexplode(F.array(*found)).alias("rule_seq", "match")).where("match <> ''")
+    ok = F.lit(False)
     for n, rule in enumerate(rules):
-        value = F.when(applies(rule, language), first_match(F.col("line"), rule))
+        own = applies(rule, language) & valid(line, rule, F.col("match"))
         if rule.category not in EXPOSURE:
-            value = F.when(~F.coalesce(is_comment(F.col("line"), language), F.lit(False)), value)
-        hit = F.struct(
-            F.lit(rule.id).alias("rule_id"), F.lit(n).alias("rule_seq"), value.alias("match"), F.lit(rule.category).alias("category"), F.lit(rule.severity).alias("severity"),
-            F.lit(rule.decision).alias("decision"), F.lit(rule.confidence).alias("confidence"), F.lit(rule.group).cast("string").alias("dedup_group"), F.lit("regex").alias("engine"),
-        )
-        hits.append(F.when(value.isNotNull(), hit))
-    return lines.select("*", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select(*lines.columns, "hit.*")
+            own = own & ~F.coalesce(is_comment(line, language), F.lit(False))
+        ok = F.when(F.col("rule_seq") == n, own).otherwise(ok)
+    columns = F.array(*[
+        F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(r.decision).alias("decision"), F.lit(r.confidence).alias("confidence"), F.lit(r.group).cast("string").alias("dedup_group"), F.lit("regex").alias("engine"))
+        for r in rules
+    ])
+    return rows.where(ok).withColumn("rule", F.get(columns, F.col("rule_seq"))).select(*lines.columns, "rule_seq", "match", "rule.*")
 
 
 def findings(lines: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:

@@ -126,7 +126,7 @@ def apply_exceptions(found: DataFrame, exceptions: DataFrame, today: Column, fin
     else:
         found = found.withColumn("fingerprint", F.lit(None).cast("string"))
     on = (F.array_contains(F.concat(F.array("rule_id"), "also_matched"), F.col("e_rule_id"))) & (F.lower("path") == F.lower("e_file")) & (F.col("e_line").isNull() | (F.col("e_line") == F.col("line_no"))) & (F.col("e_fingerprint").isNull() | (F.col("e_fingerprint") == F.col("fingerprint")))
-    joined = found.join(F.broadcast(e.where(in_force)), on, "left")
+    joined = found.join(e.where(in_force), on, "left")
     first = Window.partitionBy("path", "line_no", "rule_id", "id").orderBy(F.col("e_priority").asc_nulls_last())
     out = joined.withColumn("place", F.row_number().over(first)).where("place = 1")
     return out.withColumn("suppressed", F.col("e_rule_id").isNotNull()).withColumn("suppress_reason", F.col("e_reason")).drop("place", *[c for c in out.columns if c.startswith("e_")])

@@ -16,6 +16,9 @@ POPULAR = {
 }
 VERDICTS = ("malicious", "not_found", "vulnerable", "cooldown_hold", "suspicious_name", "version_not_found", "checked_stale", "checked_clean", "unknown", "error", "registry_approved", "registry_rejected", "unsupported_env_grade")
 MANIFEST_LIMIT, LOCKFILE_LIMIT = 20, 2000
+# fixed values: what a registry may answer, and for how many days old feeds leave an approval standing
+REGISTRY_STATES = ("APPROVED", "REJECTED", "UNDER_REVIEW", "UNKNOWN")
+APPROVAL_GRACE_DAYS = 30
 
 
 def intervals(events: Column) -> Column:
@@ -174,11 +177,31 @@ def online_verdict(c: DataFrame) -> DataFrame:
 
 
 def registry_decision(local: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Local verdicts joined to a registry's: a rejection always wins, an approval only over what is not malicious."""
-    d = decisions.select("ecosystem", "name", "version", F.upper("decision").alias("decision"))
-    joined = local.join(d, ["ecosystem", "name", "version"], "left")
-    out = F.when(F.col("decision") == "REJECTED", "registry_rejected").when((F.col("decision") == "APPROVED") & ~F.col("verdict").isin("malicious", "vulnerable"), "registry_approved").otherwise(F.col("verdict"))
-    return joined.withColumn("verdict", out).drop("decision")
+    """Local verdicts joined to a registry's decisions (ecosystem, name, version, decision, cached_stale).
+
+    local: ecosystem, name, version, verdict, severity, kev, possible (a malicious
+    advisory that may hold), compared (feeds were there and fresh), feed_age (days,
+    null if unknown). A rejection wins, be it a stale one. An approval wins over all but
+    malicious packages, exploited vulnerabilities and possible malice, a vulnerable
+    verdict among them; feeds that are too old for too long then ask for review. A
+    status nobody knows is no answer.
+    """
+    d = decisions.select("ecosystem", "name", "version", F.upper("decision").alias("decision"), F.coalesce("cached_stale", F.lit(False)).alias("cached_stale"))
+    j = local.join(d, ["ecosystem", "name", "version"], "left")
+    rejected = F.col("decision").eqNullSafe("REJECTED")
+    held = (F.col("verdict") == "malicious") | F.coalesce("kev", F.lit(False)) | F.coalesce("possible", F.lit(False))
+    approved = F.col("decision").eqNullSafe("APPROVED") & ~held
+    compared = F.coalesce("compared", F.lit(False))
+    too_old = F.coalesce(F.col("feed_age") > APPROVAL_GRACE_DAYS, F.lit(False))
+    return j.select(
+        "ecosystem", "name", "version",
+        F.when(rejected, "registry_rejected").when(approved, "registry_approved").otherwise(F.col("verdict")).alias("verdict"),
+        F.when(rejected, "critical").when(approved, "info").otherwise(F.col("severity")).alias("severity"),
+        F.when(rejected, F.lit(True)).when(approved, too_old | (~compared & F.col("feed_age").isNull())).otherwise(~F.col("verdict").isin("checked_clean")).alias("requires_review"),
+        F.when(approved, compared).otherwise(F.col("verdict").isin("checked_clean", "vulnerable", "malicious")).alias("checked"),
+        F.when(F.col("decision").isNull(), "not_asked").when(F.col("decision").isin(*REGISTRY_STATES), "ok").otherwise("item_failed").alias("registry_status"),
+        (rejected & F.col("cached_stale")).alias("stale_rejection"),
+    )
 
 
 def highest_version(versions: DataFrame, by: str) -> DataFrame:
@@ -203,18 +226,25 @@ def recommended(rows: DataFrame, by: str) -> DataFrame:
     return own.groupBy(by).agg(F.when(F.bool_or(F.col("target").isNull()), F.lit(None)).otherwise(F.max_by("target", "k")).alias("recommended"), F.count_if(F.col("target").isNull()).alias("unfixed"))
 
 
-def advisory_groups(advisories: DataFrame, limit: int = 50) -> DataFrame:
-    """id, group_id (the smallest id that shared ids and aliases lead to): label rounds over (id, name) rows until none changes."""
-    names = advisories.select("id", F.explode(F.array_union(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
-    labels = names.select("id").distinct().withColumn("label", F.col("id"))
-    for _ in range(limit):
+def advisory_groups(advisories: DataFrame) -> DataFrame:
+    """id, group_id (the smallest id that shared ids and aliases lead to): rounds over (id, name) rows until no label changes.
+
+    Each round takes the smallest label by name, then the label of that label, so
+    chains halve. Rounds end their lineage with a checkpoint where a folder is set.
+    """
+    reliable = advisories.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    kept = lambda df: df.checkpoint(eager=True) if reliable else df.persist()
+    names = kept(advisories.select("id", F.explode(F.array_union(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).distinct())
+    labels = kept(names.select("id").distinct().withColumn("label", F.col("id")))
+    while True:
         low = names.join(labels, "id").groupBy("name").agg(F.min("label").alias("low"))
-        after = names.join(low, "name").groupBy("id").agg(F.min("low").alias("label")).checkpoint(eager=True) if advisories.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else names.join(low, "name").groupBy("id").agg(F.min("low").alias("label")).persist()
-        changed = after.alias("n").join(labels.alias("o"), "id").where("n.label <> o.label").limit(1).count()
+        near = names.join(low, "name").groupBy("id").agg(F.min("low").alias("near"))
+        jumped = near.join(labels.select(F.col("id").alias("near"), F.col("label").alias("far")), "near", "left")
+        after = kept(jumped.select("id", F.least("near", F.coalesce("far", "near")).alias("label")))
+        changed = after.join(labels.withColumnRenamed("label", "was"), "id").where("label <> was").limit(1).count()
         labels = after
         if not changed:
-            break
-    return labels.withColumnRenamed("label", "group_id")
+            return labels.withColumnRenamed("label", "group_id")
 
 
 def prioritized(rows: DataFrame) -> DataFrame:
