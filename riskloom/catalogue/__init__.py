@@ -1,6 +1,6 @@
 """Every registered query of the library proper, and its SQL."""
 
-from riskloom.catalogue import packages, texts
+from riskloom.catalogue import checks, packages, projects, texts
 
-QUERIES = {**texts.QUERIES, **packages.QUERIES}
-ORACLES = {**texts.ORACLES, **packages.ORACLES}
+QUERIES = {**texts.QUERIES, **packages.QUERIES, **projects.QUERIES, **checks.QUERIES}
+ORACLES = {**texts.ORACLES, **packages.ORACLES, **projects.ORACLES, **checks.ORACLES}

@@ -74,10 +74,13 @@ def kev_semi(spark, sf_dir):
 
 
 def epss_nvd_enrichment(spark, sf_dir):
-    cves = spark.createDataFrame([("CVE-1",), ("CVE-2",), ("CVE-3",)], "cve string")
-    epss = spark.createDataFrame([("CVE-1", 0.5, 0.9), ("CVE-2", 0.1, 0.2)], "cve string, epss double, percentile double")
-    nvd = spark.createDataFrame([("CVE-1", "Analyzed", 9.8), ("CVE-2", "Rejected", 7.0)], "id string, vulnStatus string, cvss31_base_score double")
-    return K.enriched(cves, epss, nvd)
+    """Orders as CVEs, of which some have scores, some base scores, some rejected ones."""
+    o = F.col("o_orderkey")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    cve = F.concat(F.lit("CVE-"), o.cast("string"))
+    epss = orders.where(o % 3 == 0).select(cve.alias("cve"), (o % 100 / 128.0).alias("epss"), (o % 50 / 64.0).alias("percentile"))
+    nvd = orders.where(o % 4 == 0).select(cve.alias("id"), F.when(o % 5 == 0, "Rejected").when(o % 7 != 0, "Analyzed").alias("vulnStatus"), (o % 20 / 2.0).alias("cvss31_base_score"))
+    return K.enriched(orders.where(o % 2 == 0).select(cve.alias("cve")), epss, nvd)
 
 
 AGES = [(None, "E1"), (2, "E0"), (3, "E0"), (6, "E1"), (7, "e1 "), (13, "E2"), (14, "E2"), (8, None), (8, "E3")]
@@ -88,14 +91,17 @@ def cooldown_tristate(spark, sf_dir):
     return rows.select("age", "grade", V.cooled_down(F.col("age"), F.col("grade")).alias("cooled"), V.grade_supported(F.col("grade")).alias("supported"))
 
 
-LICENCES = ["MIT", "GPL-3.0", "MIT OR GPL-3.0", "MIT AND GPL-3.0", "(MIT OR GPL-2.0-only) AND ISC", "Custom", "", None, "GPL-2.0-or-later WITH Classpath-exception-2.0", "mit or gpl-3.0"]
+LICENCES = [
+    "MIT", "GPL-3.0", "MIT OR GPL-3.0", "MIT AND GPL-3.0", "(MIT OR GPL-2.0-only) AND ISC", "Custom", "", None, "GPL-2.0-or-later WITH Classpath-exception-2.0", "mit or gpl-3.0", "GPL-3.0-only WITH GCC-exception-3.1", "GPLv3", "MIT License", "Apache License 2.0",
+    "BSD License", "The MIT License", "PolyForm Noncommercial License 1.0.0", "MPL-2.0 AND Custom", "Custom OR Elastic-2.0", "LGPLv3", "  ", "AND", "Apache-2.0 WITH LLVM-exception OR AGPL-3.0-only", "bslish",
+]
 
 
 def license_expr(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in LICENCES], "licence string").select("licence", P.licence_verdict(F.col("licence")).alias("verdict"))
 
 
-PURLS = ["pkg:npm/%40scope/name@1.2.3", "pkg:pypi/requests@2.0?x=1", "pkg:npm/left-pad", "nonsense"]
+PURLS = ["pkg:npm/%40scope/name@1.2.3", "pkg:pypi/requests@2.0?x=1", "pkg:npm/left-pad", "nonsense", "pkg:NPM/@a/b", "pkg:npm/a@1@2#sub", "pkg:npm/", None]
 
 
 def purl_parts(spark, sf_dir):
@@ -113,7 +119,11 @@ def recommended_version(spark, sf_dir):
 
 
 def upgrade_components(spark, sf_dir):
-    return K.advisory_groups(advisories(spark))
+    """Suppliers as advisories whose aliases chain some of them together."""
+    k = F.col("s_suppkey")
+    name = lambda x: F.concat(F.lit("A"), F.lpad(x.cast("string"), 6, "0"))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(name(k).alias("id"), F.when(k % 4 != 0, F.array(F.concat(F.lit("link-"), F.floor(k / 2).cast("string")), F.concat(F.lit("pair-"), F.floor((k + 1) / 2).cast("string")))).alias("aliases"))
+    return K.advisory_groups(rows)
 
 
 def epss_upsert(spark, sf_dir):
@@ -137,12 +147,6 @@ def online_verdicts(spark, sf_dir):
     return K.online_verdict(rows).groupBy("verdict", "severity").agg(F.count("*").alias("n"))
 
 
-def registry_decisions(spark, sf_dir):
-    local = spark.createDataFrame([("npm", "a", "1", "checked_clean"), ("npm", "b", "1", "malicious"), ("npm", "c", "1", "unknown"), ("npm", "d", "1", "checked_clean")], "ecosystem string, name string, version string, verdict string")
-    decided = spark.createDataFrame([("npm", "a", "1", "rejected"), ("npm", "b", "1", "approved"), ("npm", "c", "1", "approved")], "ecosystem string, name string, version string, decision string")
-    return K.registry_decision(local, decided)
-
-
 def advisory_severity(spark, sf_dir):
     rows = spark.createDataFrame([("a", "1", "LOW"), ("a", "2", None), ("b", None, None), ("c", "3", "critical"), ("d", "4", None)], "package string, id string, severity string")
     return K.max_severity(rows, "package")
@@ -158,13 +162,17 @@ def release_signals(spark, sf_dir):
     return K.previous_release(rows)
 
 
+MANIFESTS = [("a/package.json", "npm", "manifest"), ("a/package-lock.json", "npm", "lock"), ("b/package.json", "npm", "manifest"), ("a/requirements.txt", "pypi", "manifest"), ("poetry.lock", "pypi", "lock"), ("pyproject.toml", "pypi", "manifest"), ("a/b/package.json", "npm", "manifest")]
+
+
 def manifest_shadowing(spark, sf_dir):
-    rows = spark.createDataFrame([("a/package.json", "npm", "manifest"), ("a/package-lock.json", "npm", "lock"), ("b/package.json", "npm", "manifest"), ("a/requirements.txt", "pypi", "manifest"), ("poetry.lock", "pypi", "lock"), ("pyproject.toml", "pypi", "manifest")], "path string, ecosystem string, kind string")
-    return K.shadowed_manifests(rows)
+    return K.shadowed_manifests(spark.createDataFrame(MANIFESTS, "path string, ecosystem string, kind string"))
 
 
 def merged_components(spark, sf_dir):
-    rows = spark.createDataFrame([("npm", "a", "1", "checked_clean", "x.lock", 0), ("npm", "a", "1", "vulnerable", "y.lock", 1), ("npm", "b", "1", "not_found", "y.lock", 2), ("npm", "b", "1", "malicious", "x.lock", 3)], "ecosystem string, name string, version string, verdict string, source string, seq int")
+    p = F.col("p_partkey")
+    verdict = F.element_at(F.array(*[F.lit(x) for x in ("checked_clean", "vulnerable", "unknown", "malicious", "not_found", "checked_stale", "checked_clean")]), (p % 7 + 1).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("lib"), (p % 90).cast("string")).alias("name"), (p % 4).cast("string").alias("version"), verdict.alias("verdict"), F.concat(F.lit("lock"), (p % 13).cast("string")).alias("source"), p.alias("seq"))
     return K.merged_components(rows)
 
 
@@ -215,7 +223,7 @@ def label_agreement(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     version_key_order, affected_interval_match, mal_scope_matrix, typosquat_theta, kev_semi, epss_nvd_enrichment, cooldown_tristate, license_expr, purl_parts, recommended_version, upgrade_components, epss_upsert, offline_verdicts, online_verdicts,
-    registry_decisions, advisory_severity, advisory_priority, release_signals, manifest_shadowing, merged_components, gate_matrix, rule_search_rank, eval_precision_recall, rule_coverage_pairs, rule_problems, audit_events, audit_hourly, label_agreement,
+    advisory_severity, advisory_priority, release_signals, manifest_shadowing, merged_components, gate_matrix, rule_search_rank, eval_precision_recall, rule_coverage_pairs, rule_problems, audit_events, audit_hourly, label_agreement,
 )}
 
 
@@ -231,25 +239,28 @@ _POPULAR = _values([(e, n) for e, ns in K.POPULAR.items() for n in ns], "eco, si
 _P4 = _values([p[:3] for p in PACKAGES], "ecosystem, name, version")
 
 ORACLES = {
+    "epss_nvd_enrichment": "SELECT 'CVE-' || o_orderkey AS cve, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 100) / 128.0::DOUBLE END AS epss, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 50) / 64.0::DOUBLE END AS percentile, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 5 <> 0 THEN (o_orderkey % 20) / 2.0::DOUBLE END AS cvss31_base_score FROM orders WHERE o_orderkey % 2 = 0",
+    "license_expr": f"""WITH t AS (SELECT licence, trim(licence) AS plain FROM {_values([(x,) for x in LICENCES], 'licence')}),
+sides AS (SELECT *, length(plain) <= 200 AND regexp_matches(plain, '\\b(AND|OR|WITH)\\b') AS compound, CASE WHEN length(plain) <= 200 AND regexp_matches(plain, '\\b(AND|OR|WITH)\\b') THEN regexp_split_to_array(translate(plain, '()', '  '), '\\bOR\\b') ELSE [plain] END AS alt FROM t),
+one AS (SELECT *, list_transform(alt, lambda a: list_max(list_transform(list_filter(list_transform(CASE WHEN compound THEN regexp_split_to_array(a, '\\bAND\\b') ELSE [a] END, lambda x: lower(trim(CASE WHEN compound THEN regexp_replace(x, '\\bWITH\\b.*$', '') ELSE x END))), lambda x: x <> ''),
+  lambda x: CASE WHEN regexp_matches(x, '^(lgpl-2\\.1|lgpl-3\\.0|gpl-2\\.0|gpl-3\\.0|agpl-3\\.0|bsl-1\\.1|sspl-1\\.0|polyform|elastic-2\\.0)') THEN 2 WHEN regexp_matches(x, '^(mit|apache|bsd|isc|mpl-2\\.0|psf-2\\.0)') OR regexp_matches(x, '(^|\\s)mit(\\s|$)') THEN 0 WHEN regexp_matches(x, '^(gpl|agpl|sspl|bsl)') THEN 2 ELSE 1 END))) AS r FROM sides)
+SELECT licence, CASE WHEN plain IS NULL OR plain = '' THEN 'unknown' ELSE ['allowed', 'unknown', 'review_required'][coalesce(list_min(list_filter(r, lambda x: x IS NOT NULL)), 1) + 1] END AS verdict FROM one""",
+    "upgrade_components": "WITH RECURSIVE n AS (SELECT 'A' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS id, unnest(CASE WHEN s_suppkey % 4 <> 0 THEN ['link-' || (s_suppkey // 2), 'pair-' || ((s_suppkey + 1) // 2)] ELSE ['only-' || s_suppkey] END) AS name FROM supplier), reach AS (SELECT DISTINCT id, id AS r FROM n UNION SELECT reach.id, b.id FROM reach JOIN n a ON a.id = reach.r JOIN n b ON b.name = a.name) SELECT id, min(r) AS group_id FROM reach GROUP BY id",
+    "manifest_shadowing": f"WITH f AS (SELECT *, regexp_extract(path, '^(.*/)?[^/]*$', 1) AS folder FROM {_values(MANIFESTS, 'path, ecosystem, kind')}) SELECT path, ecosystem FROM f WHERE kind = 'manifest' AND NOT EXISTS (SELECT 1 FROM f l WHERE l.kind = 'lock' AND l.folder = f.folder AND l.ecosystem = f.ecosystem)",
+    "merged_components": "WITH c AS (SELECT 'npm' AS ecosystem, 'lib' || (p_partkey % 90) AS name, CAST(p_partkey % 4 AS VARCHAR) AS version, ['checked_clean', 'vulnerable', 'unknown', 'malicious', 'not_found', 'checked_stale', 'checked_clean'][CAST(p_partkey % 7 + 1 AS INTEGER)] AS verdict, 'lock' || (p_partkey % 13) AS source, p_partkey AS seq FROM part) SELECT ecosystem, name, version, arg_max(verdict, CASE WHEN verdict IN ('malicious', 'not_found') THEN 3 WHEN verdict = 'vulnerable' THEN 2 ELSE 1 END * 1000000000::BIGINT - seq) AS verdict, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM c GROUP BY ALL",
+    "purl_parts": f"WITH t AS (SELECT purl, regexp_extract(regexp_replace(purl, '[?#].*$', ''), '^pkg:([A-Za-z0-9.+-]+)/(.+)$', ['eco', 'rest']) AS m FROM {_values([(x,) for x in PURLS], 'purl')}), v AS (SELECT purl, nullif(lower(m.eco), '') AS ecosystem, CASE WHEN m.eco <> '' THEN regexp_extract(m.rest, '^(.+?)(?:@([^@]*))?$', 1) END AS n, CASE WHEN m.eco <> '' AND regexp_matches(m.rest, '^.+@[^@]*$') THEN regexp_extract(m.rest, '@([^@]*)$', 1) END AS version FROM t), w AS (SELECT purl, ecosystem, regexp_replace(n, '^%40', '@') AS name, version FROM v) SELECT *, CASE WHEN ecosystem IS NOT NULL THEN 'pkg:' || ecosystem || '/' || regexp_replace(name, '^@', '%40') || coalesce('@' || version, '') END AS again FROM w",
+    "recommended_version": f"WITH t AS (SELECT name, current, unnest(string_split(fixes, ' ')) AS f FROM {_values([(n, c, ' '.join(f)) for n, c, f in TARGETS], 'name, current, fixes')}), k AS (SELECT *, list_transform(string_split(split_part(f, '-', 1) || '.0.0', '.')[1:3], lambda x: CAST(x AS INTEGER)) AS fk, list_transform(string_split(split_part(current, '-', 1) || '.0.0', '.')[1:3], lambda x: CAST(x AS INTEGER)) AS ck FROM t), b AS (SELECT name, arg_min(f, [CASE WHEN fk[1] = ck[1] AND NOT contains(f, '-') THEN 0 WHEN fk[1] = ck[1] THEN 1 WHEN NOT contains(f, '-') THEN 2 ELSE 3 END] || fk) FILTER (fk > ck) AS target FROM k GROUP BY name) SELECT name, target, target AS recommended, CAST(CASE WHEN target IS NULL THEN 1 ELSE 0 END AS BIGINT) AS unfixed FROM b",
     "version_key_order": f"WITH v AS (SELECT version, {_KEY.format(v='version')} AS k, {_READ.format(v='version')} AS ok FROM {_values([(v,) for v in VERSIONS], 'version')}) SELECT version, CASE WHEN ok THEN array_to_string({_TRIM.format(k='k')}, '.') ELSE '' END AS version_key, NOT ok AS unreadable, lower(regexp_extract(regexp_replace(trim(version), '\\+.*$', ''), '^[^-]*-(.*)$', 1)) AS tag, regexp_matches(version, '(?i)-(?:rc|alpha|beta|next|canary|dev|pre|preview|snapshot)') AS is_pre FROM v",
     "typosquat_theta": f"WITH p AS (SELECT ecosystem, name, lower(ecosystem) AS eco, lower(name) AS low FROM {_P4}), pop AS (SELECT * FROM {_POPULAR}) SELECT ecosystem, name, similar_to, CAST(levenshtein(low, similar_to) AS INTEGER) AS edit_distance FROM p JOIN pop USING (eco) WHERE length(low) >= 5 AND NOT EXISTS (SELECT 1 FROM pop q WHERE q.eco = p.eco AND q.similar_to = p.low) AND levenshtein(low, similar_to) BETWEEN 1 AND 2",
     "kev_semi": "WITH a AS (SELECT * FROM " + _values([(r[0], c) for r in ADVISORIES for c in [r[0], *r[1]]], "id, cve") + f") SELECT id, cve FROM a WHERE cve LIKE 'CVE-%' AND cve IN ({', '.join(map(quote, KEV))})",
-    "epss_nvd_enrichment": "SELECT * FROM (VALUES ('CVE-1', 0.5::DOUBLE, 0.9::DOUBLE, 9.8::DOUBLE), ('CVE-2', 0.1, 0.2, NULL), ('CVE-3', NULL, NULL, NULL)) t(cve, epss, percentile, cvss31_base_score)",
     "cooldown_tristate": f"SELECT age, grade, age >= CASE upper(trim(grade)) WHEN 'E0' THEN 3 WHEN 'E2' THEN 14 ELSE 7 END AS cooled, grade IS NULL OR upper(trim(grade)) IN ('E0', 'E1', 'E2') AS supported FROM {_values(AGES, 'age, grade')}",
-    "license_expr": "WITH one AS (SELECT licence, list_transform(regexp_split_to_array(regexp_replace(licence, '[()]', ' ', 'g'), '\\s+OR\\s+'), lambda p: list_max(list_transform(regexp_split_to_array(p, '\\s+AND\\s+'), lambda x: CASE WHEN lower(regexp_replace(regexp_replace(trim(x), '(?i)(-only|-or-later|\\+)$', ''), ' WITH .*$', '')) IN (" + ", ".join(quote(x.lower()) for x in P.ALLOWED_LICENCES) + ") THEN 0 WHEN lower(regexp_replace(regexp_replace(trim(x), '(?i)(-only|-or-later|\\+)$', ''), ' WITH .*$', '')) IN (" + ", ".join(quote(x.lower()) for x in P.REVIEWED_LICENCES) + f") THEN 2 ELSE 1 END))) AS r FROM {_values([(x,) for x in LICENCES], 'licence')}) SELECT licence, CASE WHEN licence IS NULL OR trim(licence) = '' THEN 'unknown' ELSE list_extract(['allowed', 'unknown', 'review_required'], CAST(list_min(r) + 1 AS INTEGER)) END AS verdict FROM one",
-    "upgrade_components": "SELECT * FROM " + _values([("GHSA-1", "GHSA-1"), ("GHSA-2", "GHSA-2"), ("GHSA-3", "GHSA-2"), ("MAL-1", "MAL-1"), ("MAL-2", "MAL-2"), ("MAL-3", "MAL-3"), ("MAL-4", "MAL-4")], "id, group_id"),
     "epss_upsert": "WITH b AS (SELECT * FROM (VALUES ('CVE-1', 0.1::DOUBLE, '2026-01-01', 0), ('CVE-2', 0.2, '2026-01-02', 0), ('CVE-3', 0.3, '2026-01-01', 0), ('CVE-1', 0.9, '2026-01-03', 1), ('CVE-2', 0.8, '2026-01-02', 1), ('CVE-3', 0.7, '2025-12-01', 1), ('CVE-4', 0.4, '2026-01-05', 1)) t(cve, epss, date, src)) SELECT cve, epss, date FROM b QUALIFY row_number() OVER (PARTITION BY cve ORDER BY date DESC, src DESC) = 1 ORDER BY date DESC, cve LIMIT 3",
     "offline_verdicts": "WITH f AS (SELECT " + ", ".join(f"(id >> {i}) % 2 = 1 AS {n}" for i, n in enumerate(("grade_ok", "feeds", "malicious", "vulnerable", "mal_covered", "stale", "undetermined", "vuln_covered"))) + " FROM range(256) r(id)) SELECT CASE WHEN NOT grade_ok THEN 'unsupported_env_grade' WHEN NOT feeds THEN 'unknown' WHEN malicious THEN 'malicious' WHEN vulnerable THEN 'vulnerable' WHEN NOT mal_covered THEN 'unknown' WHEN stale THEN 'checked_stale' WHEN undetermined THEN 'unknown' WHEN vuln_covered THEN 'checked_clean' ELSE 'unknown' END AS verdict, count(*) AS n FROM f GROUP BY 1",
-    "registry_decisions": "SELECT * FROM " + _values([("npm", "a", "1", "registry_rejected"), ("npm", "b", "1", "malicious"), ("npm", "c", "1", "registry_approved"), ("npm", "d", "1", "checked_clean")], "ecosystem, name, version, verdict"),
     "advisory_severity": "WITH r AS (SELECT * FROM (VALUES ('a', '1', 'LOW'), ('a', '2', NULL), ('b', NULL, NULL), ('c', '3', 'critical'), ('d', '4', NULL)) t(package, id, severity)) SELECT package, list_extract(['NONE', 'UNKNOWN', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], CAST(max(CASE WHEN id IS NULL THEN 0 ELSE CASE upper(severity) WHEN 'LOW' THEN 2 WHEN 'MEDIUM' THEN 3 WHEN 'HIGH' THEN 4 WHEN 'CRITICAL' THEN 5 ELSE 1 END END) + 1 AS INTEGER)) AS max_severity FROM r GROUP BY package",
     "advisory_priority": "SELECT package, id, CAST(row_number() OVER (PARTITION BY package ORDER BY kev DESC, CASE severity WHEN 'CRITICAL' THEN 5 WHEN 'HIGH' THEN 4 WHEN 'LOW' THEN 2 ELSE 1 END DESC, seq) AS INTEGER) AS priority FROM (VALUES ('p', '1', 'LOW', true, 1), ('p', '2', 'CRITICAL', false, 2), ('p', '3', NULL, false, 3), ('p', '4', 'CRITICAL', false, 0), ('q', '5', 'HIGH', false, 1)) t(package, id, severity, kev, seq)",
-    "manifest_shadowing": "SELECT * FROM " + _values([("b/package.json", "npm"), ("a/requirements.txt", "pypi")], "path, ecosystem"),
-    "merged_components": "SELECT * FROM " + _values([("npm", "a", "1", "vulnerable", "x.lock,y.lock"), ("npm", "b", "1", "not_found", "x.lock,y.lock")], "ecosystem, name, version, verdict, sources"),
     "gate_matrix": "WITH f AS (SELECT " + ", ".join(f"(id >> {i}) % 2 = 1 AS {n}" for i, n in enumerate(("malicious", "kev", "vulnerable", "unchecked", "source", "coverage", "intel_missing", "scanned"))) + " FROM range(256) r(id)), v AS (SELECT CASE WHEN malicious OR kev THEN 'blocked' WHEN (NOT scanned AND NOT source AND NOT vulnerable AND NOT unchecked) OR (coverage AND NOT vulnerable AND NOT unchecked AND NOT source) OR intel_missing THEN 'undetermined' WHEN vulnerable OR unchecked OR source OR coverage THEN 'conditional' ELSE 'approved' END AS verdict FROM f) SELECT verdict, CASE verdict WHEN 'approved' THEN 0 WHEN 'conditional' THEN 1 WHEN 'blocked' THEN 2 ELSE 3 END AS exit_code, count(*) AS n FROM v GROUP BY ALL",
     "audit_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY ALL",
     "audit_hourly": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "purl_parts": "SELECT * FROM " + _values([(PURLS[0], "npm", "@scope/name", "1.2.3", "pkg:npm/%40scope/name@1.2.3"), (PURLS[1], "pypi", "requests", "2.0", "pkg:pypi/requests@2.0"), (PURLS[2], "npm", "left-pad", None, "pkg:npm/left-pad"), (PURLS[3], None, None, None, None)], "purl, ecosystem, name, version, again"),
-    "recommended_version": "SELECT name, target, recommended, CAST(unfixed AS BIGINT) AS unfixed FROM " + _values([("a", "1.2.5", "1.2.5", 0), ("b", "2.1.0", "2.1.0", 0), ("c", None, None, 1), ("d", "1.0.9", "1.0.9", 0)], "name, target, recommended, unfixed"),
 }
 
 _b = lambda i: f"((id >> {i}) % 2 = 1)"
@@ -273,3 +284,27 @@ def _evaluation() -> str:
 
 
 ORACLES["eval_precision_recall"] = _evaluation()
+
+
+def _coverage() -> str:
+    from riskloom.catalogue.sqlgen import value
+
+    rows = [(a.id, b.id, t) for a in RULES for b in RULES if a.id < b.id and a.category == b.category and not (a.group and a.group == b.group) for t in b.positives]
+    fired = "CASE a " + " ".join(f"WHEN {quote(r.id)} THEN ({value(r)}) IS NOT NULL" for r in RULES) + " END"
+    return f"SELECT a, b FROM (SELECT a, b, {fired} AS fired FROM {_values(rows, 'a, b, line')}) GROUP BY a, b HAVING bool_and(fired)"
+
+
+def _ranked() -> str:
+    rows = [(r.id, r.title, " ".join(r.tags), " ".join((*r.patterns, *r.positives)), r.status) for r in RULES]
+    terms = [("password", 1.0), ("card", 1.0), ("secret", 0.4), ("token", 0.4), ("payment", 0.4)]
+    one = " + ".join(f"{w} * (CASE WHEN contains(lower(title), '{t}') THEN 10.0 ELSE 0.0 END + CASE WHEN contains(lower(id), '{t}') THEN 6.0 ELSE 0.0 END + 3.0 * len(list_filter(string_split(tags, ' '), lambda x: contains(x, '{t}'))) + least(5, (length(body) - length(replace(lower(body), '{t}', ''))) // {len(t)}))" for t, w in terms)
+    return f"SELECT id, score FROM (SELECT id, round(CAST({one} AS DOUBLE), 6) AS score FROM {_values(rows, 'id, title, tags, body, status')} WHERE status <> 'deprecated') WHERE score > 0 ORDER BY score DESC, id LIMIT 10"
+
+
+def _agreement() -> str:
+    from riskloom.catalogue.sqlgen import matches
+
+    return f"WITH {matches(tuple(r for r in RULES if r.id == 'RL-PII-CARD'))}, h AS (SELECT DISTINCT doc_id FROM matches) SELECT quality, h.doc_id IS NOT NULL AS hit, count(*) AS n FROM labels LEFT JOIN h ON labels.doc_id = h.doc_id GROUP BY ALL"
+
+
+ORACLES |= {"rule_coverage_pairs": _coverage(), "rule_search_rank": _ranked(), "label_agreement": _agreement()}

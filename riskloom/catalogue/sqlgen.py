@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from riskloom.functions import text as T
 from riskloom.ranks import rank_sql
 from riskloom.rules.cards import EXPOSURE, Rule, enforced
 
@@ -67,24 +66,39 @@ def _partial(x: str) -> str:
     return f"CASE WHEN {head} + {tail} < 6 THEN '****' ELSE substr({x}, 1, CAST({head} AS INTEGER)) || '****' || right({x}, CAST({tail} AS INTEGER)) END"
 
 
+#: The masks once more, as SQL of their own: nothing here is read from riskloom.functions.
+MASKS = [
+    (
+        r"\b([0-9]{6}-?[0-9]{7}|[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{3,4}|[0-9]{3}-?[0-9]{3,4}-?[0-9]{4})\b",
+        "CASE WHEN length(replace(x, '-', '')) = 13 AND regexp_matches(replace(x, '-', ''), '^[0-9]{6}[1-4][0-9]{6}$') THEN substr(x, 1, 6) || '-' || substr(replace(x, '-', ''), 7, 1) || '******' "
+        "WHEN regexp_matches(translate(x, ' -', ''), '^(4[0-9]{14,15}|5[1-5][0-9]{13,14}|3[47][0-9]{13,14}|6011[0-9]{11,12}|65[0-9]{13,14})$') THEN substr(translate(x, ' -', ''), 1, 4) || '-****-****-' || substr(translate(x, ' -', ''), 13) "
+        "WHEN regexp_matches(translate(x, ' -', ''), '^01[016789][0-9]{7,8}$') THEN substr(x, 1, 3) || '-****-' || right(x, 4) ELSE x END",
+    ),
+    (r"([A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})", "regexp_replace(x, '^([A-Za-z0-9]{1,2}).*@', '\\1***@')"),
+    (r"(://[^\s/@\"']+@)", "regexp_replace(x, '^://([^:]*):.*@$', '://\\1:****@')"),
+    (
+        r"([A-Za-z0-9][A-Za-z0-9._-]{7,})",
+        "CASE WHEN regexp_matches(x, '^eyJ[^.]*\\.eyJ[^.]*\\.') THEN substr(x, 1, 7) || '****' WHEN regexp_matches(x, '^(sk[-_].{8,}|AKIA[0-9A-Z._-]{16})$') THEN {partial} ELSE x END",
+    ),
+    (
+        r"((?i:api[_ -]?key|secret[_ -]?key|signing[_ -]?key|private[_ -]?key|access[_ -]?key|auth[_ -]?token|secret|token|password|passwd|pwd|비밀번호|암호)[\"'*]*\s*[:=]\s*[\"']?[^\s\"',;]+)",
+        "CASE WHEN contains(regexp_replace(x, '^[^:=]*[:=]\\s*[\"'']?', ''), '***') THEN x WHEN regexp_matches(x, '^(?i:password|passwd|pwd|비밀번호|암호)') THEN regexp_extract(x, '^([^:=]*[:=]\\s*[\"'']?)', 1) || '****' "
+        "ELSE regexp_extract(x, '^([^:=]*[:=]\\s*[\"'']?)', 1) || {partial_value} END",
+    ),
+]
+
+
 def evidence() -> str:
     """CTEs from `matches` to `findings`, with evidence, id and the rest of a finding."""
-    steps, last = [], "matches"
     begin = "greatest(1, instr(line, match) - 60)"
     cut = f"substr(line, {begin}, length(match) + 120)"
-    first = f"CASE WHEN length(line) <= 200 THEN line ELSE (CASE WHEN {begin} > 1 THEN '…' ELSE '' END) || {cut} || (CASE WHEN {begin} + length({cut}) <= length(line) THEN '…' ELSE '' END) END"
-    expressions = [first]
-    for p, to in T.SIMPLE_MASKS:
-        expressions.append(f"regexp_replace(evidence, {quote(p)}, {quote(to.replace('$1', '\\1').replace('$2', '\\2'))}, 'g')")
-    firsts = [(p, 0) for p in T.TOKEN_MASKS]
-    later = [(p, to) for p, to in T.LATER_MASKS]
-    def mask_first(p: str, g: int) -> str:
-        m = f"regexp_extract(evidence, {quote(p)}, {g})"
-        return f"CASE WHEN {m} = '' THEN evidence ELSE substr(evidence, 1, instr(evidence, {m}) - 1) || {_partial(m)} || substr(evidence, instr(evidence, {m}) + length({m})) END"
-    expressions += [mask_first(p, g) for p, g in firsts]
-    expressions += [f"regexp_replace(evidence, {quote(p)}, {quote(to.replace('$1', '\\1').replace('$2', '\\2'))}, 'g')" for p, to in later]
-    expressions.append(mask_first(T.QUOTED_VALUE, 1))
-    expressions.append(f"substr(trim(evidence), 1, {T.EVIDENCE_CHARS})")
+    expressions = [f"CASE WHEN length(line) <= 200 THEN line ELSE (CASE WHEN {begin} > 1 THEN '…' ELSE '' END) || {cut} || (CASE WHEN {begin} + length({cut}) <= length(line) THEN '…' ELSE '' END) END"]
+    value = "regexp_replace(x, '^[^:=]*[:=]\\s*[\"'']?', '')"
+    for pattern, masked in MASKS:
+        masked = masked.replace("{partial}", _partial("x")).replace("{partial_value}", f"({_partial(value)})")
+        expressions.append(f"list_reduce(list_prepend(evidence, list_distinct(regexp_extract_all(evidence, {quote(pattern)}, 1))), lambda acc, x: replace(acc, x, {masked}))")
+    expressions.append("substr(trim(evidence), 1, 240)")
+    steps, last = [], "matches"
     for i, e in enumerate(expressions):
         star = "*" if i == 0 else "* EXCLUDE (evidence)"
         steps.append(f"m{i} AS MATERIALIZED (SELECT {star}, {e} AS evidence FROM {last})")

@@ -11,6 +11,7 @@ from riskloom.functions.text import context_fingerprint, lines_of
 from riskloom.operators import detect as D
 from riskloom.operators import judge as J
 from riskloom.operators import summary as M
+from riskloom.ranks import CONFIDENCE, DECISION, SEVERITY
 from riskloom.rules.cards import RULES, enforced
 from riskloom.sources import texts as X
 
@@ -22,9 +23,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir)
-    # one file is one partition on disk; lines are cheap to move, detection is not
-    return X.lines(files.repartition(spark.sparkContext.defaultParallelism), "path", "language", "doc_id", "lang", "source")
+    return X.lines(X.spread(_files(spark, sf_dir)), "path", "language", "doc_id", "lang", "source")
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,10 +163,45 @@ def duplicate_documents(spark, sf_dir):
     return docs.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
+#: Lines planted behind a turn or a document by its id, so that every rule about persons and networks meets something.
+PLANTED_LINES = ("call +1 (212) 555-0143 today", "card 4111 1111 1111 1111 and card 4111 1111 1111 1112", "id 900101-1234567", "mail jo@mail.example or 10.1.2.3", "token = \"abc123def456\" password: hunter2horse", "host 172.20.0.9 beside 172.40.0.9", "use sk-abcdefghijklmnop1234 and sk-ponmlkjihgfedcba4321", "nothing to see")
+
+
+def _planted(key: str):
+    return F.element_at(F.array(*[F.lit(x) for x in PLANTED_LINES]), (F.col(key) % len(PLANTED_LINES) + 1).cast("int"))
+
+
 def prompt_pii(spark, sf_dir):
-    turns = X.table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.lit(None).cast("string").alias("language"), F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
+    turns = X.table(spark, sf_dir, "conversations").where("role = 'user' and text is not null").withColumn("text", F.concat("text", F.lit("\n"), _planted("conv_id")))
+    own = turns.select("conv_id", "turn", F.lit(None).cast("string").alias("language"), F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
     private = tuple(r for r in enforced() if r.category in ("privacy", "secret"))
-    return D.matches(turns.select("conv_id", "turn", "language", (F.col("at") + 1).alias("line_no"), "line"), private).select("conv_id", "turn", "line_no", "rule_id", "match")
+    return D.matches(own.select("conv_id", "turn", "language", (F.col("at") + 1).alias("line_no"), "line"), private).select("conv_id", "turn", "line_no", "rule_id", "match")
+
+
+def _planted_lines(spark, sf_dir):
+    docs = X.spread(X.documents_as_files(X.table(spark, sf_dir, "documents").where("doc_id is not null and text is not null")))
+    return X.lines(docs.withColumn("text", F.concat("text", F.lit("\n"), _planted("doc_id"))), "path", "language", "doc_id", "lang", "source")
+
+
+def internal_ip(spark, sf_dir):
+    return D.matches(_planted_lines(spark, sf_dir), tuple(r for r in RULES if r.id == "RL-NET-PRIVATE-IP")).select("doc_id", "line_no", "match")
+
+
+def planted_evidence(spark, sf_dir):
+    """Evidence of lines with several values of a kind, of which none may come through whole."""
+    return D.findings(_planted_lines(spark, sf_dir)).select("path", "line_no", "rule_id", "evidence")
+
+
+def secret_only_findings(spark, sf_dir):
+    from riskloom.operators.secrets import secret_only_findings as only
+
+    return only(_planted_lines(spark, sf_dir)).select("path", "line_no", "rule_id", "decision", "evidence")
+
+
+def exposure_counts(spark, sf_dir):
+    from riskloom.operators.verdicts import exposure_counts as counts
+
+    return counts(J.judged(D.findings(_planted_lines(spark, sf_dir)).withColumn("path", F.concat(F.when(F.col("doc_id") % 2 == 0, "tests/").otherwise("src/"), "path"))))
 
 
 def script_tag_inventory(spark, sf_dir):
@@ -206,6 +240,9 @@ def validators(spark, sf_dir):
     return rows.select("value", known(V.luhn_ok(F.col("value"))).alias("luhn"), known(V.resident_number_ok(F.col("value"))).alias("resident"), V.not_self_named(F.col("value")).alias("named"))
 
 
+_DOCUMENTS = "SELECT doc_id, concat_ws('/', coalesce(source, 'none'), 'doc' || doc_id) AS path, text, lang, source FROM documents WHERE text IS NOT NULL"
+_PLANT = "list_extract([" + ", ".join(S.quote(x) for x in PLANTED_LINES) + "], CAST({} % " + str(len(PLANTED_LINES)) + " + 1 AS INTEGER))"
+_WITH_LINES = "SELECT doc_id, concat_ws('/', coalesce(source, 'none'), 'doc' || doc_id) AS path, text || chr(10) || " + _PLANT.format("doc_id") + " AS text, lang, source FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL"
 _J = "WITH " + S.matches() + ",\n" + S.evidence() + "," + S.judged() + "\n"
 _F = "WITH " + S.matches() + ",\n" + S.evidence() + "\n"
 _P = "CASE WHEN doc_id % 2 = 0 THEN '{}/' ELSE 'src/' END || path"
@@ -219,7 +256,7 @@ QUERIES = {
     "findings_dedup": findings_dedup, "dedup_group_merge": dedup_group_merge, "evidence_policy": evidence_policy, "attenuation_test_path": attenuation_test_path, "attenuation_upload": attenuation_upload,
     "card_context": card_context, "profile_overrides": profile_overrides, "severity_min_filter": severity_min_filter, "exceptions_applied": exceptions_applied, "findings_summary": findings_summary,
     "severity_summary": severity_summary, "path_class_summary": path_class_summary, "file_ranking": file_ranking, "multi_rule_lines": multi_rule_lines, "action_order": action_order, "source_rollup": source_rollup,
-    "rules_per_language": rules_per_language, "duplicate_documents": duplicate_documents, "prompt_pii": prompt_pii, "script_tag_inventory": script_tag_inventory, "url_host_inventory": url_host_inventory,
+    "rules_per_language": rules_per_language, "duplicate_documents": duplicate_documents, "prompt_pii": prompt_pii, "internal_ip": internal_ip, "planted_evidence": planted_evidence, "secret_only_findings": secret_only_findings, "exposure_counts": exposure_counts, "script_tag_inventory": script_tag_inventory, "url_host_inventory": url_host_inventory,
     "gate_verdict": gate_verdict, "context_fingerprints": context_fingerprints, "minified_documents": minified_documents, "validators": validators,
 }
 
@@ -229,7 +266,7 @@ ORACLES = {
     "findings_union": f"WITH {S.matches()} SELECT path, line_no, rule_id, match, severity, decision, category, confidence FROM matches",
     "evidence_masked": _F + "SELECT path, line_no, rule_id, evidence FROM findings",
     "finding_ids": _F + "SELECT path, line_no, rule_id, id FROM findings",
-    "findings_dedup": f"WITH {S.matches()} SELECT path, line_no, rule_id, 'python-ast' AS engine FROM matches",
+    "findings_dedup": f"WITH {S.matches()}, both_engines AS (SELECT path, line_no, rule_id, unnest(['regex', 'python-ast']) AS engine FROM matches) SELECT path, line_no, rule_id, arg_max(engine, CASE engine WHEN 'python-ast' THEN 2 ELSE 1 END) AS engine FROM both_engines GROUP BY ALL",
     "dedup_group_merge": _J + "SELECT path, line_no, rule_id, decision, also FROM judged",
     "evidence_policy": "WITH " + S.matches() + ",\n" + S.evidence() + "," + S.judged() + " SELECT p.rule_id, p.decision, count(*) AS n, CAST(count(*) FILTER (f.decision <> p.decision) AS BIGINT) AS n_adjusted FROM policed p JOIN findings f USING (id, rule_id, path, line_no) GROUP BY ALL",
     "attenuation_test_path": f"WITH {S.matches()}, moved AS (SELECT *, {_P.format('tests')} AS p FROM matches), low AS (SELECT *, {_VALUE} AND {S.path_class('p')} = 'test' AS t FROM moved), done AS (SELECT rule_id, CASE WHEN t THEN 'low' ELSE severity END AS s2, CASE WHEN t AND decision = 'block' THEN 'warn' ELSE decision END AS d2, severity, decision FROM low) SELECT rule_id, s2 AS severity, d2 AS decision, count(*) AS n, CAST(count(*) FILTER (s2 <> severity OR d2 <> decision) AS BIGINT) AS n_adjusted FROM done GROUP BY rule_id, s2, d2",
@@ -250,14 +287,18 @@ SELECT rule_id, e_reason IS NOT NULL AS suppressed, e_reason AS suppress_reason,
     "source_rollup": _J + ", s AS (SELECT coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang, severity FROM judged) SELECT source, lang, severity, count(*) AS n FROM s GROUP BY GROUPING SETS ((source), (lang), (severity), ())",
     "rules_per_language": _J + "SELECT lang, rule_id, count(*) AS n FROM judged GROUP BY ALL",
     "duplicate_documents": "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-    "prompt_pii": "WITH " + S.matches(tuple(r for r in enforced() if r.category in ("privacy", "secret"))).replace("SELECT doc_id, concat_ws('/', coalesce(source, 'none'), 'doc' || doc_id) AS path, text, lang, source FROM documents WHERE text IS NOT NULL", "SELECT conv_id AS doc_id, CAST(turn AS VARCHAR) AS path, text, turn AS lang, conv_id AS source FROM conversations WHERE role = 'user' AND text IS NOT NULL") + " SELECT doc_id AS conv_id, lang AS turn, line_no, rule_id, match FROM matches",
+    "prompt_pii": "WITH " + S.matches(tuple(r for r in enforced() if r.category in ("privacy", "secret"))).replace(_DOCUMENTS, "SELECT conv_id AS doc_id, CAST(turn AS VARCHAR) AS path, text || chr(10) || " + _PLANT.format("conv_id") + " AS text, turn AS lang, conv_id AS source FROM conversations WHERE role = 'user' AND text IS NOT NULL") + " SELECT doc_id AS conv_id, lang AS turn, line_no, rule_id, match FROM matches",
+    "internal_ip": f"WITH {S.matches(tuple(r for r in RULES if r.id == 'RL-NET-PRIVATE-IP')).replace(_DOCUMENTS, _WITH_LINES)} SELECT doc_id, line_no, match FROM matches",
+    "planted_evidence": _F.replace(_DOCUMENTS, _WITH_LINES) + "SELECT path, line_no, rule_id, evidence FROM findings",
+    "secret_only_findings": ("WITH " + S.matches(tuple(r for r in RULES if r.category == "secret")) + ",\n" + S.evidence() + " SELECT path, line_no, rule_id, decision, evidence FROM findings").replace(_DOCUMENTS, _WITH_LINES),
+    "exposure_counts": f"WITH {S.matches()}, e AS (SELECT *, doc_id % 2 = 0 AS t, CASE WHEN doc_id % 2 = 0 THEN 'low' ELSE severity END AS s2, CASE WHEN doc_id % 2 = 0 AND decision = 'block' THEN 'warn' ELSE decision END AS d2 FROM matches WHERE category IN ('privacy', 'secret')), g AS (SELECT *, row_number() OVER (PARTITION BY path, line_no, coalesce(dedup_group, rule_id) ORDER BY {S.rank_sql(CONFIDENCE, 'confidence')} DESC, {S.rank_sql(SEVERITY, 's2')} DESC, {S.rank_sql(DECISION, 'd2')} DESC, rule_id) AS k FROM e) SELECT category, count(*) FILTER (s2 = severity AND d2 = decision) AS live, count(*) FILTER (s2 <> severity OR d2 <> decision) AS lowered, count(*) FILTER (d2 = 'block') AS blocking FROM g WHERE k = 1 GROUP BY category".replace(_DOCUMENTS, _WITH_LINES),
     "script_tag_inventory": "SELECT page_id, len(regexp_extract_all(html, '(?i)<script')) AS n_script, len(regexp_extract_all(html, '(?i)<a [^>]*href=')) AS n_links, length(html) AS n_chars FROM pages",
     "url_host_inventory": "SELECT lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host, count(*) AS n_pages, min(page_id) AS first_page, count(*) FILTER (starts_with(url, 'https://')) AS n_https FROM pages GROUP BY 1",
     "gate_verdict": _J + ", s AS (SELECT source, count(*) AS scanned FROM documents GROUP BY source), c AS (SELECT source, count(*) AS findings, bool_or(rule_id = 'RL-PII-CARD') AS critical FROM judged GROUP BY source), f AS (SELECT coalesce(s.source, 'none') AS source_name, coalesce(findings, 0) AS findings, coalesce(critical, false) AS critical FROM s LEFT JOIN c ON s.source IS NOT DISTINCT FROM c.source), v AS (SELECT *, CASE WHEN critical THEN 'blocked' WHEN findings > 0 THEN 'conditional' ELSE 'approved' END AS verdict FROM f) SELECT source_name, verdict, CASE WHEN critical THEN 'critical' ELSE '' END AS block_reasons, CASE WHEN findings > 0 THEN 'source' ELSE '' END AS conditional_criteria, CASE verdict WHEN 'approved' THEN 0 WHEN 'conditional' THEN 1 ELSE 2 END AS exit_code FROM v",
     "context_fingerprints": f"WITH {S.LINES} SELECT doc_id, substr(sha256(string_agg(trim(regexp_replace(line, '[ \\t]+', ' ', 'g'), ' '), chr(10) ORDER BY line_no)), 1, 16) AS fingerprint FROM lines WHERE line_no <= 3 GROUP BY doc_id",
     "minified_documents": f"WITH {S.LINES}, u AS (SELECT doc_id, regexp_replace(text, 'data:[a-z/+.-]+;base64,[A-Za-z0-9+/=]+', '', 'g') AS t FROM files), z AS (SELECT doc_id, t, list_sort(list_transform(regexp_split_to_array(t, '\\r\\n|\\r|\\n'), lambda x: length(x))) AS s FROM u), g AS (SELECT doc_id, max(length(line)) AS longest FROM lines GROUP BY doc_id) SELECT z.doc_id, length(t) >= 1000 AND ((len(s) <= 5 AND s[len(s)] >= 2000) OR s[len(s) // 2 + 1] >= 400) AS minified, coalesce(longest > {X.GIANT_LINE}, false) AS has_giant_line FROM z LEFT JOIN g USING (doc_id)",
 }
-for _name, _rule in {"pii_email": "RL-PII-EMAIL", "pii_phone": "RL-PII-PHONE-US", "pii_card_luhn": "RL-PII-CARD", "internal_ip": "RL-NET-PRIVATE-IP", "hardcoded_assignment": "RL-SECRET-ASSIGN", "license_mentions": "RL-LICENCE-TEXT"}.items():
+for _name, _rule in {"pii_email": "RL-PII-EMAIL", "pii_phone": "RL-PII-PHONE-US", "pii_card_luhn": "RL-PII-CARD", "hardcoded_assignment": "RL-SECRET-ASSIGN", "license_mentions": "RL-LICENCE-TEXT"}.items():
     QUERIES[_name], ORACLES[_name] = _by_rule(_rule)
 _ROWS = ", ".join(f"({S.quote(v)})" for v in ("4111 1111 1111 1111", "4111 1111 1111 1112", "900101-1234567", "9001011234568", "9001011234567", "10.2.3.4", "172.40.0.1", "192.168.1.300", "token = token", "token = t0k3nvalue", ""))
 ORACLES["validators"] = f"SELECT value, coalesce({S.luhn('value')}, false) AS luhn, coalesce({S.resident_number('value')}, false) AS resident, {S.not_self_named('value')} AS named FROM (VALUES {_ROWS}) t(value)"
