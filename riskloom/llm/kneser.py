@@ -414,6 +414,7 @@ def scores(docs: DataFrame) -> DataFrame:
     answered = written(_answered(counted, parts), "answers")
     total = np.sum([r.stats for r in counted.where("stats is not null").select("stats").collect()] or [[0] * 8], axis=0)
     word = np.sum([r.stats for r in answered.where("stats is not null").select("stats").collect()] or [[0] * 8], axis=0)
+    forget(counted)
     d3, d2, d1 = discounts(total[:4].tolist()), discounts(total[4:8].tolist()), discounts(word[:4].tolist())
     continuations, vocabulary, tokens, followers = (int(x) for x in word[4:])
     # mass that the discounts of the lowest order leave to words not seen
@@ -466,7 +467,7 @@ def scores(docs: DataFrame) -> DataFrame:
     found = own.groupBy("own_part").cogroup(answered.where("answer is not null").select("part", "deal", "answer").groupBy("part")).applyInArrow(score_part, "deal long, pack long, sums binary, rows binary")
     spread = float(np.log10(tokens + vocabulary + 1))
     out = written(found.groupBy("deal").applyInArrow(_summed, _SCORES), "scores")
-    forget(counted, answered)
+    forget(answered)
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("logc") - F.col("n_tokens") * F.lit(spread)).alias("base_score"), F.col("logp").alias("score")
     )
