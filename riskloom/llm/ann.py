@@ -240,5 +240,6 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, target: float = TAR
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors null, zero or holding null or non-finite numbers take no part; ties go to the smaller id; an empty table gives no rows; see nearest."""
     rows = written(clean(table(spark, sf_dir, "embeddings"), nonzero=True), "vectors")
     return nearest(rows, rows.where(F.col("vec_id") % QUERY_EVERY == 0))

@@ -249,6 +249,7 @@ def decode(code: Code, payload) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nd
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, null ids first, null texts (the end id alone) and repeats included; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     tokens = written(token_table(docs, vocabulary_path()), "ids")
     path = new_path(spark, "huffman")

@@ -474,4 +474,5 @@ def scores(docs: DataFrame) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, null ids, null texts and repeats included; see scores."""
     return scores(table(spark, sf_dir, "documents"))

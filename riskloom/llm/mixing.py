@@ -139,6 +139,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, null ids, null sources, null texts (no words) and repeats included; an empty table gives no rows; see copies."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return copies(written(docs, "sizes")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 

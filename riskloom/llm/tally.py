@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from riskloom.llm.io import forget, written
+
 PARTS = 16
 DEALS = 64
 
@@ -35,6 +37,8 @@ def tally(rows: DataFrame, counts_of: Callable[[pa.RecordBatch], np.ndarray], si
     made = rows.mapInArrow(run, "part int, deal int, counts binary")
     added = made.groupBy("part", "deal").applyInArrow(add, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
     out = np.zeros(width * PARTS, np.int64)
+    added = written(added, "tally")
     for row in added.collect():
         out[row.part * width : (row.part + 1) * width] = np.frombuffer(zlib.decompress(row.counts), np.int64)
+    forget(added)
     return out[:size]

@@ -115,6 +115,7 @@ def whole_numbers(rows: DataFrame) -> DataFrame:
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors null or holding null or non-finite numbers take no part; fewer candidates give fewer ranks; an id on several rows is several candidates, none of its own queries'; ties go to the smaller id; an empty table gives no rows."""
     rows = written(whole_numbers(clean(table(spark, sf_dir, "embeddings"))), "vectors")
     return top_k(rows.where(F.col("vec_id") % QUERY_EVERY == 0), rows)
 

@@ -158,6 +158,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, null ids, null texts (empty) and repeats included; an empty table gives no rows."""
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
