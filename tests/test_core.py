@@ -62,6 +62,11 @@ def test_evidence_of_odd_lines_as_in_sql(spark, tmp_path):
     assert all("4111111111111111" not in evidence for *_, evidence in own)
 
 
+def test_finding_ids_of_odd_lines_as_in_sql(spark, tmp_path):
+    own, sql = _odd_documents(spark, tmp_path, "finding_ids")
+    assert own and own == sql
+
+
 def test_versions(spark):
     assert one(spark, "1.3.0", version_key) == one(spark, "1.3", version_key) == [1, 3]
     assert one(spark, "x.y", version_key) is None and one(spark, "0.0", version_key) == [0]
