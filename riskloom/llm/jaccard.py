@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.components import components, relabelled
@@ -63,7 +63,7 @@ BLOCK_PAIRS = 1 << 21
 FILTER_BITS = 24
 
 
-def linked(both: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int):
+def linked(both: np.ndarray | int | Column, a: np.ndarray | int | Column, b: np.ndarray | int | Column):
     """100 * |both| >= 75 * |either|, in whole numbers."""
     return 7 * both >= 3 * (a + b)
 
@@ -570,11 +570,14 @@ class Relation:
 
 
 def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Those of pairs (a, b), a table, whose counts of shingles in buckets leave enough in common. sketches: sig, n, sketch."""
-    every = F.lit(b"\xff" * SKETCH)
+    """Those of pairs (a, b), a table, whose counts of shingles in buckets leave enough in common. sketches: sig, n, sketch.
+
+    Where one of the two has no counts, sizes alone decide.
+    """
+    none = F.lit(bytes(SKETCH))
     sketches = among(sketches, pairs.select(F.explode(F.array("a", "b")).alias("sig")), "sig")
     for side in ("a", "b"):
-        own = sketches.select(F.col("sig").alias(side), F.col("n").alias(f"n_{side}"), F.coalesce("sketch", every).alias(f"sketch_{side}"))
+        own = sketches.select(F.col("sig").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
         pairs = pairs.join(own, side)
 
     @F.arrow_udf("boolean")
@@ -582,7 +585,10 @@ def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, SKETCH) for x in (a, b))
         return pa.array(linked(np.minimum(a, b).sum(axis=1, dtype=np.int64), n_a.to_numpy(), n_b.to_numpy()))
 
-    return pairs.where(enough("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b")
+    a, b = F.col("sketch_a"), F.col("sketch_b")
+    by_counts = enough("n_a", "n_b", F.coalesce(a, none), F.coalesce(b, none))
+    by_size = linked(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"))
+    return pairs.where(F.when(a.isNull() | b.isNull(), by_size).otherwise(by_counts)).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, derive: bool) -> DataFrame:

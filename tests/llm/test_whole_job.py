@@ -74,6 +74,16 @@ def test_counts_in_buckets_never_hide_a_link():
             assert state.of(lists).may_link(np.array([0]), np.array([1])).all()
 
 
+def test_sets_too_large_for_counts_link(spark):
+    """160,000 words: buckets hold more than 255 shingles, so such sets have no counts; two are 75 % alike exactly, the third is not."""
+    n = 7 * 22_860
+    word = [f"w{k}" for k in range(3 * n)]
+    # sets of n shingles of which 6 n / 7 are common, and one less for the third
+    texts = [(i, " ".join(word[at : at + n + 4])) for i, at in ((1, 0), (2, n // 7), (3, 2 * (n // 7) + 1))]
+    out = jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in out} == {(1, n, 1), (2, n, 1), (3, n, 3)}
+
+
 def test_an_id_on_two_rows_loses_only_the_copy(spark):
     """Id 2 stands on a copy of 1 and on a text of its own, which nothing is like."""
     copy, own, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
