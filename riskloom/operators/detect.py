@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import evidence_window, finding_id, redact
+from riskloom.functions.text import BLANK, evidence_window, finding_id, redact
 from riskloom.functions.validate import VALIDATORS
 from riskloom.rules.cards import EXPOSURE, Rule, enforced
 
 ADJUSTMENT = "struct<step:string,from_severity:string,to_severity:string,from_decision:string,to_decision:string,reason:string>"
 
 
+# fixed values: letters beyond a-z that patterns of any case take for s and k, as Unicode folds them
+ALSO_FOLDED = {"s": "\u017f", "k": "\u212a"}
+
+
+def as_java(pattern: str) -> str:
+    """A rule's pattern as it means the same to Java: white space without the vertical tab, and behind a leading (?i) the long s and the Kelvin sign as letters."""
+    out, inside, any_case = [], False, pattern.startswith("(?i)")
+    for part in re.findall(r"\(\?(?:P?<\w+>|[a-zA-Z-]*[:)])|\\.|\[\^?|.", pattern, re.DOTALL):
+        folded = ALSO_FOLDED.get(part.lower()) if any_case else None
+        if part == r"\s":
+            part = BLANK if inside else f"[{BLANK}]"
+        elif folded:
+            part = part + folded if inside else f"[{part}{folded}]"
+        elif part.startswith("[") and not inside:
+            inside = True
+        elif part == "]":
+            inside = False
+        out.append(part)
+    return "".join(out)
+
+
 def hinted(line: Column, rule: Rule) -> Column | None:
-    """Whether a line holds one of the rule's hints; None for a rule without."""
+    """Whether a line holds one of the rule's hints, or a long s that may stand in one; None for a rule without."""
     low = F.lower(line)
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(h)) for h in rule.hints]) if rule.hints else None
+    hints = (*rule.hints, ALSO_FOLDED["s"]) if any(p.startswith("(?i)") for p in rule.patterns) else rule.hints
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(h)) for h in hints]) if rule.hints else None
 
 
 def valid(line: Column, rule: Rule, value: Column) -> Column:
@@ -26,7 +49,7 @@ def valid(line: Column, rule: Rule, value: Column) -> Column:
     for name in rule.validators:
         ok = ok & VALIDATORS[name](value)
     for pattern in rule.excludes:
-        ok = ok & ~line.rlike(pattern)
+        ok = ok & ~line.rlike(as_java(pattern))
     return ok
 
 
@@ -34,7 +57,7 @@ def first_match(line: Column, rule: Rule) -> Column:
     """The value of the first pattern whose first match passes all validators; null if none, or if the line is excluded."""
     value = F.lit(None).cast("string")
     for p in reversed(rule.patterns):
-        found = F.regexp_extract(line, p, rule.take)
+        found = F.regexp_extract(line, as_java(p), rule.take)
         value = F.when(valid(line, rule, found), found).otherwise(value)
     hint = hinted(line, rule)
     return value if hint is None else F.when(hint, value)
@@ -67,7 +90,7 @@ def matches(lines: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFram
     line, language, found = F.col("line"), F.col("language"), []
     for rule in rules:
         # of several patterns the first that passes counts, so those are validated at once
-        value = F.regexp_extract(line, rule.patterns[0], rule.take) if len(rule.patterns) == 1 else F.coalesce(first_match(line, rule), F.lit(""))
+        value = F.regexp_extract(line, as_java(rule.patterns[0]), rule.take) if len(rule.patterns) == 1 else F.coalesce(first_match(line, rule), F.lit(""))
         hint = hinted(line, rule)
         found.append(value if hint is None else F.when(hint, value).otherwise(""))
     rows = lines.select("*", F.posexplode(F.array(*found)).alias("rule_seq", "match")).where("match <> ''")
