@@ -13,8 +13,8 @@ scoring:
   the totals sent back to the parts that asked, in the order of their questions.
 * Events are sent once more, which takes less disk than keeping them. Each part
   writes its n-grams, contexts and words as sorted hash arrays to a file, maps the
-  file into memory and looks its events up; sums by document come back to where the
-  document's events were packed.
+  file into memory and looks each different n-gram of its events up; sums by document
+  come back to where the document's events were packed.
 
 A word whose bucket of the sketch holds more than a part's share of all tokens is
 hot: its events are dealt by it and the word after, so no part grows with it.
@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,21 +68,29 @@ class HashArrays:
         if not self.n:
             return [np.full(len(keys), missing) for _ in range(self.columns)]
         held = self.map[: 8 * self.n].view("<u8")
-        at = np.minimum(np.searchsorted(held, keys), self.n - 1)
+        # asked in their order, keys are found in one pass through the file
+        order, at = np.argsort(keys), np.empty(len(keys), np.int64)
+        at[order] = np.searchsorted(held, keys[order])
+        at = np.minimum(at, self.n - 1)
         found = held[at] == keys
         return [np.where(found, self.map[8 * self.n * (1 + i) : 8 * self.n * (2 + i)].view("<f8")[at], missing) for i in range(self.columns)]
 
 
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
 def _zip(*arrays: np.ndarray) -> bytes:
-    parts = [zlib.compress(np.ascontiguousarray(a).tobytes(), 1) for a in arrays]
-    return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+    raw = [np.ascontiguousarray(a).tobytes() for a in arrays]
+    parts = [_ZSTD.compress(x, asbytes=True) for x in raw]
+    return np.array([len(parts), *map(len, parts), *map(len, raw)], "<u4").tobytes() + b"".join(parts)
 
 
 def _unzip(raw: bytes, *kinds: str) -> list[np.ndarray]:
-    sizes = np.frombuffer(raw, "<u4", len(kinds), 4)
-    at, out = 4 + 4 * len(kinds), []
-    for size, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(zlib.decompress(raw[at : at + size]), kind))
+    k = len(kinds)
+    sizes = np.frombuffer(raw, "<u4", 2 * k, 4).tolist()
+    at, out = 4 + 8 * k, []
+    for size, whole, kind in zip(sizes[:k], sizes[k:], kinds, strict=True):
+        out.append(np.frombuffer(_ZSTD.decompress(raw[at : at + size], decompressed_size=whole, asbytes=True), kind))
         at += size
     return out
 
@@ -151,17 +158,44 @@ class Pack:
         self.doc_id, self.held_out, self.nameless, self.n_tokens = doc_id, held_out, nameless, count + 1
         self.key = int(mix(np.concatenate([doc_id.view(np.uint64) + np.uint64(3), distinct, count.astype(np.uint64)])).sum(dtype=np.uint64).view(np.int64))
 
+    def _order(self, part: np.ndarray) -> np.ndarray:
+        """Events by part, word before, word and place."""
+        n, size = len(part), len(self.words)
+        bits = max(n - 1, 1).bit_length()
+        if size * size << bits >= 1 << 63 or part.max(initial=0) >= 1 << 16:
+            return np.lexsort((self.w, self.v, part))
+        # numbers with their place in the lower bits sort by value, and parts of 16 bits by counting
+        key = ((self.v.astype(np.int64) * size + self.w) << bits) + np.arange(n)
+        key.sort()
+        order = key & ((1 << bits) - 1)
+        return order[np.argsort(part[order].astype(np.uint16), kind="stable")]
+
     def sent(self, part: np.ndarray, rows: bool) -> Iterator[tuple[int, bytes]]:
         """(part, packed events) by part; with their rows, or only whether they are held out."""
-        order = np.argsort((part * len(self.words) + self.v) * len(self.words) + self.w, kind="stable")
-        used, begin = np.unique(part[order], return_index=True)
-        for p, a, b in zip(used.tolist(), begin, [*begin[1:], len(order)], strict=True):
+        order = self._order(part)
+        by_part = part[order]
+        begin = np.flatnonzero(np.diff(by_part, prepend=-1))
+        seen, place = np.zeros(len(self.words), bool), np.empty(len(self.words), np.int64)
+        for p, a, b in zip(by_part[begin].tolist(), begin, [*begin[1:], len(order)], strict=True):
             own = order[a:b]
-            v, n = np.unique(self.v[own], return_counts=True)
-            words, code = np.unique(np.concatenate([v, self.w[own], self.u[own]]), return_inverse=True)
-            held_out = self.held_out[self.row[own]]
-            mark = _planes(2 * self.row[own] + held_out) if rows else np.packbits(held_out)
-            yield p, _zip(np.array([rows], "u1"), np.array([self.key], "<i8"), _steps(self.words[words]), n.astype("<u4"), _planes(code[: len(v)]), _planes(code[len(v) : len(v) + len(own)]), _planes(code[len(v) + len(own) :]), mark)
+            v, w, u, row = self.v[own], self.w[own], self.u[own], self.row[own]
+            first = np.flatnonzero(np.diff(v, prepend=-1))
+            n = np.diff(first, append=len(own))
+            v = v[first]
+            if 16 * len(own) < len(seen):
+                words = np.unique(np.concatenate([v, w, u]))
+            else:
+                seen[v] = seen[w] = seen[u] = True
+                words = np.flatnonzero(seen)
+                seen[words] = False
+            place[words] = np.arange(len(words))
+            # words ascend with one word before: steps take less room
+            w = place[w]
+            step = np.diff(w, prepend=0)
+            step[first] = w[first]
+            held_out = self.held_out[row]
+            mark = _planes(2 * row + held_out) if rows else np.packbits(held_out)
+            yield p, _zip(np.array([rows], "u1"), np.array([self.key], "<i8"), _steps(self.words[words]), n.astype("<u4"), _planes(place[v]), _planes(step), _planes(place[u]), mark)
 
     def rows(self) -> bytes:
         return _zip(np.array([self.key], "<i8"), self.doc_id.astype("<i8"), self.held_out.astype("u1"), self.nameless.astype("u1"), self.n_tokens.astype("<i8"))
@@ -206,64 +240,98 @@ def _is_hot(words: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     return np.isin(words >> np.uint64(64 - SKETCH_BITS), buckets) if len(buckets) else np.zeros(len(words), bool)
 
 
+def _run_starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.zeros(len(sorted_keys[0]), bool)
+    new[:1] = True
+    for key in sorted_keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
+
+def _of_runs(begin: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n places, the number of its run."""
+    return np.repeat(np.arange(len(begin)), np.diff(begin, append=n))
+
+
 class Events:
-    """One part's events, and what is counted from those outside the held-out fold."""
+    """One part's events, their different n-grams, and what is counted from those outside the held-out fold.
+
+    Within the part words are numbers in the order of their hashes, so different
+    trigrams are in order of word before, word, word two before: those of a bigram
+    and of a context of one word lie together.
+    """
 
     def __init__(self, blobs: list[bytes], hot: np.ndarray):
-        u, v, w, mark, pack = [], [], [], [], []
+        u, v, w, mark, pack, own_words, begin = [], [], [], [], [], [], 0
         for raw in blobs:
             rows, key, steps, n, v_at, w_at, u_at, own = _unzip(raw, "u1", "<i8", "u1", "<u4", "u1", "u1", "u1", "u1")
-            words = _ascending(steps)
-            v.append(np.repeat(words[_numbers(v_at)], n))
-            w.append(words[_numbers(w_at)])
-            u.append(words[_numbers(u_at)])
+            own_words.append(_ascending(steps))
+            n = n.astype(np.int64)
+            first, total = np.cumsum(n) - n, np.cumsum(_numbers(w_at), dtype=np.int64)
+            total -= np.repeat(np.where(first > 0, total[first - 1], 0), n)
+            for have, code in zip((v, w, u), (np.repeat(_numbers(v_at), n), total, _numbers(u_at)), strict=True):
+                have.append(code.astype(np.int64) + begin)
+            begin += len(own_words[-1])
             mark.append(_numbers(own) if rows[0] else np.unpackbits(own, count=len(w[-1])).astype(np.uint32))
             pack.append((int(key[0]), len(w[-1])))
         blobs.clear()
-        empty = np.zeros(0, np.uint64)
-        self.v, self.w = (np.concatenate(x) if x else empty for x in (v, w))
-        del v, w
+        self.names, number = np.unique(np.concatenate(own_words), return_inverse=True) if own_words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        number = number.reshape(-1).astype(np.int32)
+        v, w, u = (number[np.concatenate(x)] if x else number for x in (v, w, u))
         mark = np.concatenate(mark) if mark else np.zeros(0, np.uint32)
-        self.row, self.packs = (mark >> 1).astype(np.int64), pack
-        learnt = mark & 1 == 0
-        self.pair = pair_key(self.v, self.w)
-        u = np.concatenate(u) if u else empty
-        self.context, self.triple = pair_key(u, self.v), pair_key(u, self.pair)
-        del u
-        self.words, self.word_count = np.unique(self.w, return_inverse=True)
-        self.word_count = np.bincount(self.word_count, learnt, len(self.words))
-        self.triples, first, self.times = np.unique(self.triple[learnt], return_index=True, return_counts=True)
-        own = np.flatnonzero(learnt)[first]
-        self.pairs, first, self.before = np.unique(self.pair[own], return_index=True, return_counts=True)
-        of_pair = own[first]
-        self.pair_words, self.pair_word_count = np.unique(self.w[of_pair], return_counts=True)
+        self.w, self.row, self.packs = w, (mark >> 1).astype(np.int64), pack
+        learnt = (mark & 1 == 0).astype(np.int64)
+        size, n = len(self.names), len(w)
+        order = np.argsort((v.astype(np.int64) * size + w) * size + u) if size < 1 << 21 else np.lexsort((u, w, v))
+        begin = _run_starts(v[order], w[order], u[order])
+        #: of each event, the number of its trigram
+        self.triple = np.empty(n, np.int32)
+        self.triple[order] = _of_runs(begin, n)
+        self.times = np.add.reduceat(learnt[order], begin) if n else np.zeros(0, np.int64)
+        v, w, u = (x[order[begin]] for x in (v, w, u))
+        self.u, n = u, len(u)
+        # bigrams by the learnt trigrams in them
+        begin = _run_starts(v, w)
+        self.pair = _of_runs(begin, n)
+        self.before = np.add.reduceat((self.times > 0).astype(np.int64), begin) if n else np.zeros(0, np.int64)
+        self.pair_v, self.pair_w = v[begin], w[begin]
         # contexts of two words by the trigrams in them, contexts of one by the bigrams
-        self.two = _by_count(self.context[own], self.times)
-        self.one = _by_count(self.v[of_pair], self.before)
-        self.hot = _is_hot(self.v, hot)
-        self.hot_one = np.unique(self.v[self.hot])
-        self.hot_two = np.unique(self.context[self.hot])
+        code, self.context = np.unique(v.astype(np.int64) * size + u, return_inverse=True)
+        self.context = self.context.reshape(-1)
+        self.two_v, self.two_u = code // max(size, 1), code % max(size, 1)
+        self.two = _by_count(self.context, self.times, len(code))
+        begin = _run_starts(self.pair_v)
+        self.one_v, self.one_at = self.pair_v[begin], _of_runs(begin, len(self.pair_v))
+        self.one = _by_count(self.one_at, self.before, len(begin))
+        self.words = np.flatnonzero(np.bincount(self.w, minlength=size))
+        self.word_count = np.bincount(self.w, learnt, size)[self.words]
+        self.pair_word_count = np.bincount(self.pair_w[self.before > 0], minlength=size)[self.words]
+        # hot contexts in the order of their hashes
+        is_hot = _is_hot(self.names, hot)
+        self.hot_one = np.flatnonzero(is_hot[self.one_v])
+        self.hot_two = np.flatnonzero(is_hot[self.two_v])
+        self.hot_two = self.hot_two[np.argsort(self.two_keys()[self.hot_two])]
+
+    def pair_keys(self) -> np.ndarray:
+        return pair_key(self.names[self.pair_v], self.names[self.pair_w])
+
+    def triple_keys(self) -> np.ndarray:
+        return pair_key(self.names[self.u], self.pair_keys()[self.pair])
+
+    def two_keys(self) -> np.ndarray:
+        return pair_key(self.names[self.two_u], self.names[self.two_v])
 
     def asked(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """By kind, keys of what the part lacks, ascending, and its own share of each: four numbers."""
         word = np.zeros((len(self.words), 4))
-        word[np.searchsorted(self.words, self.pair_words), 0] = self.pair_word_count
-        word[:, 1] = self.word_count
-        out = [(self.words, word)]
-        for own, (names, counts) in ((self.hot_two, self.two), (self.hot_one, self.one)):
-            share = np.zeros((len(own), 4))
-            if len(names) and len(own):
-                place = np.minimum(np.searchsorted(names, own), len(names) - 1)
-                known = names[place] == own
-                share[known] = counts[place[known]]
-            out.append((own, share))
-        return out
+        word[:, 0], word[:, 1] = self.pair_word_count, self.word_count
+        return [(self.names[self.words], word), (self.two_keys()[self.hot_two], self.two[self.hot_two]), (self.names[self.one_v[self.hot_one]], self.one[self.hot_one])]
 
 
-def _by_count(context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts ascending, and of each the sum of its counts, and how many are 1, 2, more."""
-    names, at = np.unique(context, return_inverse=True)
-    return names, np.stack([np.bincount(at, x, len(names)) for x in (count, count == 1, count == 2, count > 2)], axis=1) if len(names) else np.zeros((0, 4))
+def _by_count(context: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n contexts, the sum of its counts, and how many are 1, 2, more."""
+    return np.stack([np.bincount(context, x, n) for x in (count, count == 1, count == 2, count > 2)], axis=1)
 
 
 def _count_stats(count: np.ndarray) -> list[int]:
@@ -340,8 +408,9 @@ def _dealt(events: Events, logp: np.ndarray, logc: np.ndarray, known: np.ndarray
     """One part's sums by pack and row, and the rows of packs that came along, by where they are added up."""
     deal, pack, sums, begin = [], [], [], 0
     for key, n in events.packs:
-        own, at = np.unique(events.row[begin : begin + n], return_inverse=True)
-        values = [np.bincount(at, x[begin : begin + n], len(own)) for x in (logp, logc, known)]
+        row = events.row[begin : begin + n]
+        own = np.flatnonzero(np.bincount(row))
+        values = [np.bincount(row, x[begin : begin + n])[own] for x in (logp, logc, known)]
         # a part's sums are of some words each: single precision keeps nine digits of the document's
         sums.append(_zip(_planes(own), values[0].astype("<f4"), values[1].astype("<f4"), _planes(values[2])))
         pack.append(key)
@@ -433,34 +502,27 @@ def scores(docs: DataFrame) -> DataFrame:
             numbers = [np.stack(_unzip(raw, "<u8", "<u8", "<u8", "<u8"), axis=1) for deal, raw in answers if deal // questions == kind]
             asked.append((keys, np.concatenate(numbers).astype(np.float64) if numbers else np.zeros((0, 4))))
 
-        def contexts(own: tuple[np.ndarray, np.ndarray], kind: int) -> tuple[np.ndarray, np.ndarray]:
-            """The part's own contexts, those with a hot word by their totals."""
-            names, counts = own
-            cold = ~np.isin(names, asked[kind][0])
-            return np.concatenate([names[cold], asked[kind][0]]), np.concatenate([counts[cold], asked[kind][1]])
-
+        # hot contexts have their totals over all parts
+        for counts, own, kind in ((e.two, e.hot_two, TWO), (e.one, e.hot_one, ONE)):
+            counts[own] = asked[kind][1]
         with tempfile.TemporaryDirectory() as folder:
             file = lambda name: os.path.join(folder, name)
             known_w, numbers = asked[WORD]
             unigrams = HashArrays(file("words"), known_w, _discounted(numbers[:, 0], d1) / max(continuations, 1) + left / (vocabulary + 1), numbers[:, 1])
-            names, counts = contexts(e.one, ONE)
-            ones = HashArrays(file("one"), names, counts[:, 0], _rest(counts, d2))
-            names, counts = contexts(e.two, TWO)
-            twos = HashArrays(file("two"), names, counts[:, 0], _rest(counts, d3))
-            bigrams = HashArrays(file("pairs"), e.pairs, e.before.astype(np.float64))
-            trigrams = HashArrays(file("triples"), e.triples, e.times.astype(np.float64))
-            n = len(e.w)
-            logp, logc, seen = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-            step = 1 << 19
-            for a in range(0, n, step):
-                own = slice(a, a + step)
-                p, c_w = unigrams.get(e.w[own])
-                for higher, context, ngrams, gram, d in ((ones, e.v, bigrams, e.pair, d2), (twos, e.context, trigrams, e.triple, d3)):
-                    (c,) = ngrams.get(gram[own])
-                    whole, rest = higher.get(context[own])
-                    p = np.where(whole > 0, (_discounted(c, d) + rest * p) / np.maximum(whole, 1), p)
-                logp[own], logc[own], seen[own] = np.log10(p), np.log10(c_w + 1), c_w > 0
-            del unigrams, ones, twos, bigrams, trigrams
+            p, c_w = unigrams.get(e.names)
+            p = p[e.pair_w]
+            # each different n-gram is looked up once, events take what theirs has found
+            for name, keys, counts, at, context, grams, c, d in (("one", e.names[e.one_v], e.one, slice(None), e.one_at, e.pair_keys(), e.before, d2), ("two", e.two_keys(), e.two, e.pair, e.context, e.triple_keys(), e.times, d3)):
+                known = counts[:, 0] > 0
+                higher = HashArrays(file(name), keys[known], counts[known, 0], _rest(counts[known], d))
+                ngrams = HashArrays(file(f"{name}-grams"), grams[c > 0], c[c > 0].astype(np.float64))
+                (c,) = ngrams.get(grams)
+                whole, rest = (x[context] for x in higher.get(keys))
+                p = p[at]
+                p = np.where(whole > 0, (_discounted(c, d) + rest * p) / np.maximum(whole, 1), p)
+                del higher, ngrams
+            logp, logc, seen = np.log10(p)[e.triple], np.log10(c_w + 1)[e.w], (c_w > 0).astype(np.int64)[e.w]
+            del unigrams
         return pa.table(_dealt(e, logp, logc, seen, packed, deals))
 
     own = _sent(docs, parts, hot, rows=True).withColumnRenamed("part", "own_part")
