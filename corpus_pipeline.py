@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +30,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that op4_quality would predict as good; learnt from the labelled documents among docs. Without labels none is rejected."""
-    labels, name = table(spark, sf_dir, "labels"), free_name(docs.columns, "pipeline_score")
-    if labels.where("quality is not null").limit(1).count() == 0:
+    weights, name = quality.train(docs, table(spark, sf_dir, "labels")), free_name(docs.columns, "pipeline_score")
+    # nothing was learnt
+    if np.all(weights == 0):
         return docs
-    weights = quality.train(docs, labels)
     return quality.score(docs, weights, name).where(F.col(name) >= THRESHOLD).select(*docs.columns)
 
 
