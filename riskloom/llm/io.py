@@ -33,14 +33,17 @@ def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """The frame as a table in the shared folder: lineage ends there, and lost executors don't matter."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    # the table replaces what was shuffled for it, so those files go when it is done
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    # the table replaces what was shuffled for it, so those files go when it is done;
+    # the driver describes the plan anew after each shuffle: with the tree alone that is several times less text
+    meanwhile = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.ui.explainMode": "simple"}
+    before = {key: spark.conf.get(key, None) for key in meanwhile}
+    for key, value in meanwhile.items():
+        spark.conf.set(key, value)
     try:
         df.write.option("compression", compression).parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

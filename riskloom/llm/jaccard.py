@@ -719,8 +719,10 @@ def components_of_sets(docs: DataFrame) -> DataFrame:
     leaders = written(found.where("both is not null").select(F.col("b").alias("node"), F.col("a").alias("lead"), "both"), "leaders")
     forget(found)
     # everywhere a is the smaller one, unsigned
-    tried, past = chosen, [listed, sides, chosen]
+    tried, past, idle = chosen, [listed, sides, chosen], False
     for wave in (*range(1, WAVES + 1), 0):
+        if wave and idle:
+            continue
         met = mixed.select(F.explode("sets").alias("node")).distinct()
         state = among(sketches.select(F.col("sig").alias("node"), "sketch"), met, "node").join(leaders, "node", "left").join(labels, "node", "left")
         state = state.select("node", F.coalesce("label", "node").alias("label"), F.coalesce("lead", "node").alias("lead"), F.coalesce("both", F.lit(-1)).alias("both"), "sketch")
@@ -737,12 +739,18 @@ def components_of_sets(docs: DataFrame) -> DataFrame:
         pairs = written(promising(untried, sketches), "pairs")
         forget(untried)
         past += [answer, pairs]
+        # a wave that joins nothing is the last before all pairs that are left
+        idle = True
         if pairs.limit(1).count():
             tried = tried.unionByName(pairs)
             more = verified(pairs, docs, wanted, derive=False)
-            after = relabelled(labels, more.where("link").select("a", "b"))
-            forget(more, labels)
-            labels = after
+            links = more.where("link").select("a", "b")
+            if links.limit(1).count():
+                idle = False
+                after = relabelled(labels, links)
+                forget(labels)
+                labels = after
+            forget(more)
 
     grouped = first.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     grouped = written(grouped, "grouped")
