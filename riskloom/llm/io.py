@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import suppress
 
+from py4j.java_collections import JavaArray
+from py4j.java_gateway import JavaClass, JavaGateway
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,11 +48,44 @@ def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    give_back(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
+#: Share of the driver's largest heap from which its garbage is collected between tables.
+HEAP_SHARE = 0.75
+
+
+def give_back(spark: SparkSession) -> str | None:
+    """Return to the system what the driver's JVM has freed; what the JVM says of it.
+
+    Compilers and hundreds of short-lived threads leave freed memory in the C library's
+    arenas, which keeps it for as long as the JVM lives; a heap that grew by garbage
+    shrinks only when it is collected in full. A JVM without the command keeps its arenas.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > HEAP_SHARE * runtime.maxMemory():
+        jvm.java.lang.System.gc()
+    strings = gateway.new_array(jvm.java.lang.String, 0)
+    server, name = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    # the server's class is not open, its interface is
+    kinds = [jvm.java.lang.Class.forName(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+    invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", _array(gateway, jvm.java.lang.Class, kinds))
+    with suppress(Py4JJavaError):
+        return invoke.invoke(server, _array(gateway, jvm.java.lang.Object, [name, "systemTrimNativeHeap", strings, strings]))
+    return None
+
+
+def _array(gateway: JavaGateway, kind: JavaClass, values: list) -> JavaArray:
+    out = gateway.new_array(kind, len(values))
+    for i, value in enumerate(values):
+        out[i] = value
+    return out
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete tables that written() made and that nothing will read again."""
     for frame in frames:

@@ -1,6 +1,6 @@
-"""What the driver is spared: long texts of plans, and waves that join nothing."""
+"""What the driver is spared: long texts of plans, waves that join nothing, and freed memory that it would keep."""
 
-from riskloom.llm import jaccard
+from riskloom.llm import io, jaccard
 from riskloom.llm.io import written
 
 
@@ -20,3 +20,11 @@ def test_a_wave_that_joins_nothing_is_the_last_before_all_pairs(spark, monkeypat
     texts = [(i, " ".join(f"w{i}x{k}" for k in range(8))) for i in range(6)]
     rows = jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert {r.component_id for r in rows} == set(range(6)) and waves == [1, 0]
+
+
+def test_tables_between_steps_return_what_the_driver_has_freed(spark, monkeypatch):
+    said, give_back = [], io.give_back
+    monkeypatch.setattr(io, "give_back", lambda session: said.append(give_back(session)))
+    assert written(spark.range(10), "returned").count() == 10
+    # Java 17.0.9 and later with the GNU C library
+    assert len(said) == 1 and "Trim native heap: " in said[0]
